@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, url_filter
+from . import chat_format, line_dedup, sharding, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": sharding.query,
         "op3_line_dedup": line_dedup.query,
         "op5_url_filter": url_filter.query,
+        "op7_chat_format": chat_format.query,
     }
 
 
