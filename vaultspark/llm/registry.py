@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, sharding, url_filter
+from . import chat_format, line_dedup, sharding, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.query,
         "op5_url_filter": url_filter.query,
         "op7_chat_format": chat_format.query,
+        "op8_warc": warc.query,
     }
 
 
