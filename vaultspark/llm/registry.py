@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, flac, line_dedup, sharding, url_filter, warc
+from . import chat_format, flac, line_dedup, sharding, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_url_filter": url_filter.query,
         "op7_chat_format": chat_format.query,
         "op8_warc": warc.query,
+        "op9_toxicity": toxicity.query,
         "op10_flac_media": flac.query,
     }
 
