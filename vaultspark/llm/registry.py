@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, flac, line_dedup, sharding, toxicity, url_filter, warc
+from . import chat_format, flac, line_dedup, packing, sharding, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.query,
         "op3_line_dedup": line_dedup.query,
+        "op4_packing": packing.query,
         "op5_url_filter": url_filter.query,
         "op7_chat_format": chat_format.query,
         "op8_warc": warc.query,
