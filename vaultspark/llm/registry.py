@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, flac, line_dedup, packing, sharding, toxicity, url_filter, warc
+from . import chat_format, flac, jaccard_join, line_dedup, packing, sharding, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.query,
+        "op2_jaccard_join": jaccard_join.query,
         "op3_line_dedup": line_dedup.query,
         "op4_packing": packing.query,
         "op5_url_filter": url_filter.query,
