@@ -4,11 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Staged tables of this driver process, by tag: (session, path).
+#: Staged tables of this driver process, by tag.
 _staged: dict[str, list[str]] = {}
+_tag = "llm"
+
+
+@contextmanager
+def tagged(tag: str):
+    """What is staged inside carries ``tag``, so that it can be released apart from the rest."""
+    global _tag
+    before, _tag = _tag, tag
+    try:
+        yield
+    finally:
+        _tag = before
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,21 +39,21 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def new_folder(spark: SparkSession, name: str, tag: str = "llm") -> str:
+def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, remembered for :func:`release`."""
     path = f"{shared_root(spark)}/vaultspark/{name}-{uuid.uuid4().hex}"
-    _staged.setdefault(tag, []).append(path)
+    _staged.setdefault(_tag, []).append(path)
     return path
 
 
-def stage(df: DataFrame, name: str, tag: str = "llm") -> DataFrame:
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     It cuts lineage: what follows reads files that survive any executor, so
     values that depend on how rows were dealt (row numbers) stay as they are.
     """
     spark = df.sparkSession
-    path = new_folder(spark, name, tag)
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,9 +75,3 @@ def release(spark: SparkSession, tag: str = "llm") -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_or_empty(column: str = "text"):
-    from pyspark.sql import functions as F
-
-    return F.coalesce(F.col(column), F.lit(""))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat_format, flac, jaccard_join, line_dedup, packing, sharding, toxicity, url_filter, warc
+from . import chat_format, decontamination, flac, jaccard_join, line_dedup, packing, sharding, toxicity, url_filter, warc
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_sharding": sharding.query,
         "op2_jaccard_join": jaccard_join.query,
         "op3_line_dedup": line_dedup.query,
         "op4_packing": packing.query,
         "op5_url_filter": url_filter.query,
+        "op6_decontamination": decontamination.query,
         "op7_chat_format": chat_format.query,
         "op8_warc": warc.query,
         "op9_toxicity": toxicity.query,
