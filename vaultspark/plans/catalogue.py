@@ -10,6 +10,7 @@ from vaultspark.functions import cdc, codecs, paths, scalars
 from vaultspark.operators import relops
 from vaultspark.plans import views
 from vaultspark.plans.views import C_SQL, F_SQL, M_SQL
+from vaultspark.streaming import watcher
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -527,3 +528,25 @@ def _(spark, d):
     back = codecs.decrypt(F.col("sealed"), key, F.col("doc_id").cast("string").cast("binary"))
     other = codecs.decrypt(F.col("sealed"), key, F.lit("other").cast("binary"))
     return t.select("doc_id", F.sha2(back, 256).alias("hash"), other.isNull().alias("tamper_seen"))
+
+
+# The watcher over events as folder events.
+
+
+def _folder_events(spark, d):
+    kind = F.create_map(*[F.lit(x) for p in (("signup", "create"), ("click", "modify"), ("view", "modify"), ("purchase", "rename_both"), ("error", "remove")) for x in p])
+    path = F.concat(F.lit("p"), F.col("user_id").cast("string"))
+    return views.table(spark, d, "events").select(
+        F.concat(F.lit("r"), (F.col("user_id") % 16).cast("string")).alias("watch_root"), "event_id", "ts", F.coalesce(F.element_at(kind, F.col("event_type")), F.lit("modify")).alias("kind"), path.alias("path"), F.concat(path, F.lit("-moved")).alias("to_path"), F.lit(None).cast("long").alias("tracker")
+    )
+
+
+@query("cooldown_batch")
+def _(spark, d):
+    e = _folder_events(spark, d).where("kind in ('create', 'modify')")
+    return watcher.replay(e, watcher.WatchConfig(debounce=60, cooldown=3600)).select("watch_root", "seq", "action", "path", "at")
+
+
+@query("stream_autoingest")
+def _(spark, d):
+    return watcher.replay(_folder_events(spark, d), watcher.WatchConfig(debounce=3, cooldown=60))
