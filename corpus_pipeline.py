@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultspark.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
-from vaultspark.llm.common import new_folder, release, table, tagged
+from vaultspark.llm.common import new_folder, release, table, tagged, unused
 
 _TAG = "pipeline"
 
@@ -51,9 +51,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; rows that repeat doc_id and text are one."""
     groups = jaccard_join.jaccard_components(docs)
-    first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(docs.columns)
+    own, text = unused(docs, "first_id", "text_hash")
+    first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    return kept.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).select(docs.columns)
 
 
 @_stage

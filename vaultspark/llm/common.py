@@ -73,5 +73,15 @@ def release(spark: SparkSession, tag: str = "llm") -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each changed until no column of ``df`` has it, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 WINDOW = 3
 
@@ -55,14 +55,14 @@ def covered_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` cut, and ``n_lines``, ``n_removed`` (int)."""
-    covered = covered_lines(docs, doc_id, text).select(F.col("doc_id").alias("__doc"), F.col("sig").alias("__sig"), F.col("covered").alias("__covered"))
-    joined = docs.withColumn("__own", F.xxhash64(text)).join(covered, F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__sig")), "left")
+    own, doc, sig, cut = unused(docs, "own_hash", "cut_doc", "cut_sig", "cut_lines")
+    covered = covered_lines(docs, doc_id, text).select(F.col("doc_id").alias(doc), F.col("sig").alias(sig), F.col("covered").alias(cut))
+    joined = docs.withColumn(own, F.xxhash64(text)).join(covered, F.col(doc_id).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(sig)), "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__covered", i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(cut, i)), "\n")
     n_lines = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(lines))
-    out = joined.withColumns({"n_lines": n_lines, "n_removed": F.coalesce(F.size("__covered"), F.lit(0))})
-    out = out.withColumn("n_removed", F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")))
-    return out.withColumn(text, F.when(F.col("__covered").isNull(), F.col(text)).otherwise(kept)).drop("__own", "__doc", "__sig", "__covered")
+    out = joined.withColumns({"n_lines": n_lines, "n_removed": F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut))})
+    return out.withColumn(text, F.when(F.col(cut).isNull(), F.col(text)).otherwise(kept)).drop(own, doc, sig, cut)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

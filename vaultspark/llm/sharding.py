@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, unused
 
 SEED = 20_240_501
 #: Rows of one slot block; a block stays together in the exchange.
@@ -112,28 +112,29 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = SEED) -> DataFra
         raise ValueError("shards must be 1 or more")
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    rows = stage(df.withColumn("__id", F.monotonically_increasing_id()), "shard-source")
-    part = F.shiftright("__id", _PART_BITS).cast("int")
+    row_id, p_, n_, ends_, start_, rank_ = unused(df, "row_id", "source", "source_rows", "ends", "starts", "source_rank")
+    rows = stage(df.withColumn(row_id, F.monotonically_increasing_id()), "shard-source")
+    part = F.shiftright(row_id, _PART_BITS).cast("int")
     counts = dict(rows.groupBy(part.alias("p")).count().collect())  # one row for each source partition
     parts = sorted(counts)
     m = communication_matrix([counts[p] for p in parts], shards, seed)
     sizes = m.sum(0)
     ends, offsets = m.cumsum(1), m.cumsum(0) - m
     plan = [(p, int(n), e.tolist(), o.tolist()) for p, n, e, o in zip(parts, m.sum(1), ends, offsets - (ends - m), strict=True)]
-    plan = spark.createDataFrame(plan, "__p int, __n long, __ends array<long>, __start array<long>")
+    plan = spark.createDataFrame(plan, f"`{p_}` int, `{n_}` long, `{ends_}` array<long>, `{start_}` array<long>")
 
     @F.pandas_udf("long")
     def place(at: pd.Series, size: pd.Series, stream: pd.Series) -> pd.Series:
         return pd.Series(permute(at.to_numpy(), size.to_numpy(), stream.to_numpy(), seed))
 
-    dealt = rows.withColumn("__p", part).join(plan, "__p")
-    at = F.col("__id").bitwiseAND(F.lit((1 << _PART_BITS) - 1))
-    dealt = dealt.withColumn("__rank", place(at, F.col("__n"), F.col("__p").cast("long")))
-    dealt = dealt.withColumn("shard", F.size(F.filter("__ends", lambda e: e <= F.col("__rank"))))
-    arrival = F.col("__rank") + F.get("__start", F.col("shard"))
+    dealt = rows.withColumn(p_, part).join(plan, p_)
+    at = F.col(row_id).bitwiseAND(F.lit((1 << _PART_BITS) - 1))
+    dealt = dealt.withColumn(rank_, place(at, F.col(n_), F.col(p_).cast("long")))
+    dealt = dealt.withColumn("shard", F.size(F.filter(ends_, lambda e: e <= F.col(rank_))))
+    arrival = F.col(rank_) + F.get(start_, F.col("shard"))
     size_of = F.when(F.col("shard") < int(sizes.sum() % shards), F.lit(int(sizes.sum() // shards) + 1)).otherwise(F.lit(int(sizes.sum() // shards)))
     dealt = dealt.withColumn("slot", place(arrival, size_of.cast("long"), (F.col("shard") + (1 << 31)).cast("long")))
-    dealt = dealt.drop("__p", "__n", "__ends", "__start", "__rank", "__id")
+    dealt = dealt.drop(p_, n_, ends_, start_, rank_, row_id)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return dealt.repartition(n, "shard", F.floor(F.col("slot") / BLOCK)).sortWithinPartitions("shard", "slot")
 

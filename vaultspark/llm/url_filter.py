@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 MAX_WORDS = 4096
 BITS_PER_KEY = 16
@@ -110,6 +110,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     paths = F.filter(F.array(*[F.when(F.length("__path") >= k, F.substring("__path", 1, k)) for k in lengths]), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit(" "), p))))
 
+    hit, rule, verdict = unused(df, "hit_url", "hit_rule", "hit_verdict")
     urls = df.select(F.col(url).alias("__url"), url_host(F.col(url)).alias("__host"), url_path(F.col(url)).alias("__path"))
     hits = urls.where("__host <> ''").select("__url", F.filter(keys, lambda k: may_be_listed(k, bloom)).alias("keys"))
     hits = hits.where(F.size("keys") > 0).distinct().select("__url", F.explode("keys").alias("key"))
@@ -117,10 +118,10 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
         hits.join(listed, "key")
         .groupBy("__url")
         .agg(F.max(F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("h"), F.concat("host", "path").alias("rule"), "verdict")).alias("w"))
-        .select(F.col("__url").alias("__hit"), F.col("w.rule").alias("__rule"), F.col("w.verdict").alias("__verdict"))
+        .select(F.col("__url").alias(hit), F.col("w.rule").alias(rule), F.col("w.verdict").alias(verdict))
     )
-    out = df.join(won, df[url] == won["__hit"], "left")
-    return out.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url)), "rule": F.col("__rule"), "verdict": F.coalesce("__verdict", F.lit(default))}).drop("__hit", "__rule", "__verdict")
+    out = df.join(won, F.col(url) == F.col(hit), "left")
+    return out.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url)), "rule": F.col(rule), "verdict": F.coalesce(verdict, F.lit(default))}).drop(hit, rule, verdict)
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
