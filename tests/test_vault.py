@@ -256,3 +256,19 @@ def test_failed_extract_leaves_nothing(spark, vault, tmp_path):
     with pytest.raises(Exception):
         sources.extract(bad, out).collect()
     assert not os.path.exists(out) or os.listdir(out) == []
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from vaultspark.__main__ import main
+
+    store, folder = str(tmp_path / "s"), tmp_path / "in"
+    (folder / "d").mkdir(parents=True)
+    (folder / "d" / "a.txt").write_bytes(A)
+    go = lambda *a: main(["--store", store, *a], spark)
+    assert go("init") == 0 and go("ingest", str(folder), "--label", "s") == 0
+    assert go("put", str(folder / "d" / "a.txt"), "--name", "b") == 0
+    capsys.readouterr()
+    assert go("list") == 0 and [x.split("\t")[0] for x in capsys.readouterr().out.splitlines()] == ["b", "d/a.txt"]
+    assert go("get", "b", str(tmp_path / "o")) == 0 and (tmp_path / "o").read_bytes() == A
+    assert go("snapshot", "restore", "--label", "s", "--to", str(tmp_path / "r")) == 0 and (tmp_path / "r" / "d" / "a.txt").read_bytes() == A
+    assert go("rm", "b") == 0 and go("rm", "b") == 1 and go("get", "b", "x") == 1 and go("fsck") == 0

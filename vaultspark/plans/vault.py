@@ -19,6 +19,7 @@ from vaultspark.functions import cdc, codecs, paths
 from vaultspark.functions.errors import AlreadyExists, Conflict, Corrupt, InvalidName, NotEncrypted, NotFound
 from vaultspark.operators import relops
 from vaultspark.plans.log import CommitLog
+from vaultspark.sources import files as sources
 
 SCHEMAS = {
     "names": "name string, object_id string, lsn long",
@@ -359,6 +360,20 @@ class Vault:
 
         return self._change("delete_snapshot", build)["n"] > 0
 
+    def restore(self, label: str, folder: str) -> int:
+        """Write a snapshot's files below ``folder``; gives how many. Contents are verified before a byte is written."""
+        entries = self.snapshot_entries(label)
+        if not self.state("snapshots").where(F.col("label") == label.strip()).count():
+            raise NotFound(label)
+        return sources.extract(entries.join(self.contents(entries), "manifest_id").select("name", "content"), folder).count()
+
+    def ingest(self, files: DataFrame, label: str | None = None) -> dict:
+        """Store files and, with a label, freeze the result; gives totals."""
+        out = self.put(files).agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")).first().asDict()
+        if label:
+            out["entries"] = self.snapshot(label)
+        return out
+
     # Garbage, checks, totals.
 
     def gc(self) -> dict:
