@@ -44,6 +44,8 @@ from .shingles import chunks, mix, shingle_sets, text_bytes
 #: Of 100: what intersection and union must have.
 INTERSECTION, UNION = 100, 75
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 1_500_000
+#: Rows taken out of an Arrow batch at once.
+SLICE = 512
 _ALL = 0xFFFF
 _DOC = np.dtype([("doc", "<i8"), ("known", "u1"), ("text", "<i8"), ("node", "<i8"), ("n", "<i4"), ("need", "<i4")])
 _PACKED = "bucket int, batch long, kind int, a binary, b binary"
@@ -129,13 +131,15 @@ def _deal(buckets: int):
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Groups of rows whose first ``keys`` columns are equal; rows come sorted."""
     key, held = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:keys] != key:
-                if held:
-                    yield key, held
-                key, held = row[:keys], []
-            held.append(row)
+    for big in batches:
+        for at in range(0, big.num_rows, SLICE):
+            batch = big.slice(at, SLICE)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:keys] != key:
+                    if held:
+                        yield key, held
+                    key, held = row[:keys], []
+                held.append(row)
     if held:
         yield key, held
 
@@ -270,15 +274,17 @@ def _stars(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     new = np.ones(len(t), dtype=bool)
     new[1:] = t[1:] != t[:-1]
     hub = v[np.flatnonzero(new)][np.cumsum(new) - 1] if len(t) else v
-    links = np.unique(np.stack([v[v != hub], hub[v != hub]], axis=1), axis=0)
-    return np.flatnonzero(new), order, links
+    a, b = v[v != hub], hub[v != hub]
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    once = np.ones(len(a), dtype=bool)
+    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.flatnonzero(new), order, np.stack([a[once], b[once]], axis=1)
 
 
 def _meet_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Level 2: prefix tokens with one node each, and links (token null) inside the batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (big.slice(at, 2 * SLICE) for big in batches for at in range(0, big.num_rows, 2 * SLICE)):
         blobs = batch.column(1).to_pylist()
         tokens = np.frombuffer(b"".join(blobs), dtype=np.int64)
         nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(b) // 8 for b in blobs])

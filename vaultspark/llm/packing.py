@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import checkpointed, stage, table
+from .shingles import chunks
 from .tokens import Encoder
 
 CAPACITY = 1024
@@ -57,8 +58,7 @@ def _cutter(tokenizer: str, capacity: int, end_id: int):
         seen, row = np.zeros(capacity + 1, dtype=np.int64), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                sub = batch.slice(lo, 512)
+            for sub in chunks(batch, 1):
                 out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids", "part", "rank", "row")}
                 for doc, ids in zip(sub.column(0).to_pylist(), encoder.encode(sub.column(1).to_pylist()), strict=True):
                     ids += end

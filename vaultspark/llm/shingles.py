@@ -19,7 +19,7 @@ _PLACE = _RNG.integers(1, 2**62, 64, dtype=np.int64).astype(np.uint64) * np.uint
 PUNCTUATION = _BLANK.copy()
 PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
 #: Bytes of text that are hashed at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 
 #: Entries of a worker's cache (about 60 bytes each).
-LIMIT = 500_000
+LIMIT = 250_000
 #: Fixed value: the pattern that byte-level pre-tokenizers split by, for reference.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _TOP = 0x250

@@ -112,9 +112,11 @@ def _g2(a: int, n: int, c: int, m: int) -> float:
 def telling_segments(toxic: list[str], ordinary: list[str]) -> list[str]:
     """Word beginnings that tell toxic text, most frequent first, each as long as it can be without losing documents."""
     ours, theirs = Counter(), Counter()
-    for counts, texts in ((ours, toxic), (theirs, ordinary)):
-        for x in texts:
-            counts.update(_segments(x))
+    for x in toxic:
+        ours.update(_segments(x))
+    ours = Counter({s: a for s, a in ours.items() if a >= 4})
+    for x in ordinary:
+        theirs.update(s for s in _segments(x) if s in ours)
     n, m = len(toxic), len(ordinary)
     telling = {s for s, a in ours.items() if a >= 4 and a * m > LEAST_RATE * theirs[s] * n and _g2(a, n, theirs[s], m) >= LEAST_G2}
     longer: dict[str, list[str]] = {}
