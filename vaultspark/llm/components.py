@@ -59,7 +59,9 @@ def components(edges: DataFrame) -> DataFrame:
     checksum reach the driver. Hubs are aggregated before they are shuffled,
     and the joins are plain ones that adaptive execution can split.
     """
-    e = edges.where("a <> b").mapInArrow(_contract, "a long, b long").distinct()
+    # Which stars a batch gives depends on the order in which its rows come, so they are computed once and kept:
+    # the loop reads them several times, and two different sets of stars would lose links between them.
+    e = checkpointed(edges.where("a <> b").mapInArrow(_contract, "a long, b long").distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
