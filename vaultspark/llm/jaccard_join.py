@@ -409,7 +409,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     near = components(candidate_links(sets))
     near = sets.select("node", "n", "shingles").join(near, "node")
     big = near.groupBy("root").agg(F.count("*").alias("sets"), F.sum(F.octet_length("shingles") / 8).alias("total"))
-    big = big.select("root", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # Kept apart from the join below, so that adaptive execution can split the sets of a hot component there.
+    big = checkpointed(big.select("root", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     cut = near.join(big, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "shingles")
