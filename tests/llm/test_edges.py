@@ -211,6 +211,42 @@ def test_decontamination_recall_of_edited_items():
     assert len(near & set(index.search(h, n))) >= 0.95 * len(near)
 
 
+@pytest.mark.parametrize("size", [15, 16, 20, 45, 59, 60, 250])
+@pytest.mark.parametrize("how", ["head replaced", "head dropped", "tail replaced", "tail dropped", "inserted", "spread"])
+def test_decontamination_finds_every_window_at_the_limit(size, how):
+    rng = random.Random(size)
+    vocabulary = ["".join(rng.choices("bcdfgaeiou", k=rng.randint(2, 6))) for _ in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=size))) for i in range(40)]
+    k, texts = decontamination.allowed(size), []
+    for _, text in items:
+        w = text.split()
+        fresh = [f"new{i}" for i in range(k)]
+        if how == "inserted":
+            for i, p in enumerate(sorted(rng.sample(range(1, size), k), reverse=True)):
+                w.insert(p, fresh[i])
+        elif how == "spread":
+            for i in range(k):
+                w[(2 * i + 1) * size // (2 * k)] = fresh[i]
+        else:
+            fresh *= how.endswith("replaced")
+            w = fresh + w[k:] if how.startswith("head") else w[: size - k] + fresh
+        noise = rng.choices(vocabulary, k=100)
+        texts.append(" ".join(noise[:50] + w + noise[50:]))
+    h, n, _, _ = shingles.word_hashes(*shingles.text_bytes(pa.array(texts)), shingles.PUNCTUATION)
+    got = decontamination.Index(items).search(h, n)
+    ends = np.cumsum(n)
+    for d, (i, _) in enumerate(items):
+        own = h[ends[d] - n[d] : ends[d]]
+        assert got.get((d, i)) == decontamination.window_distance(decontamination.Index(items[i : i + 1]).words[0], own)
+
+
+def test_decontamination_of_pairs_too_far_apart():
+    item = [f"w{i}" for i in range(20)]
+    text = " ".join(w if i % 4 else w + " x x x x x x x x" for i, w in enumerate(item))
+    h, n, _, _ = shingles.word_hashes(*shingles.text_bytes(pa.array([text, "", "x", text])), shingles.PUNCTUATION)
+    assert decontamination.Index([(1, " ".join(item))]).search(h, n) == {}
+
+
 def test_chat_folds_events(spark):
     log = [
         (1, 1, "start", 0, "user", "He"), (1, 2, "delta", 0, None, "llo"), (1, 3, "start", 1, "assistant", None), (1, 4, "delta", 1, None, "<|im_end|>\n"), (1, 5, "delta", 1, None, "x"),

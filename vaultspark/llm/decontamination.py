@@ -3,15 +3,14 @@
 A text is a sequence of words (runs of letters, digits and non-ASCII characters, A-Z as a-z). A document
 is contaminated by an item of L words if some window of it is within ``floor(MAX_EDITS * L)`` word edits.
 
-1. By the q-gram lemma such a window shares at least ``L - 1 - 2k`` word pairs with the
-   item. Positions whose pair occurs in no item are counted out; this loses no window and leaves
-   few starts. All word hashes of a batch of documents go through it as arrays.
-2. The CGK embedding: a walk over the words that stays or steps by a random bit of (step, word)
-   writes the word it is at. Edit distance becomes Hamming distance, and the first m steps
-   see only the first m words, so one embedding serves windows of any length from m words on. ``ROUNDS`` embeddings, each
-   hashed at ``SAMPLE`` random steps, are looked up among those of the items.
-   An exact copy is always found; an edited one with the recall that rounds and samples give.
-3. Every pair found is verified: the exact edit distance of the item to the best window around the start.
+1. An edit breaks at most two of an item's word pairs, so of any ``2k + 1`` of them one stands in every window within
+   ``k`` edits. The item's rarest pairs are its anchors; what holds no anchor is left after one look into a table.
+   All word hashes of a batch of documents go through it as arrays.
+2. By the q-gram lemma such a window, of at most ``L + k`` words, holds at least ``L - 1 - 2k`` places whose pair is one of the
+   item's. Each item's places in each document are counted by this rule, which loses no window.
+3. Every stretch found is verified: the exact edit distance of the item to the best window in it.
+
+No step samples: every window within the limit is found, wherever its edits lie.
 
 Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, each of which is one more pass; an item
 of fewer than ``LEAST_WORDS`` words is not searched for, as it would be found by chance.
@@ -31,37 +30,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .shingles import PUNCTUATION, chunks, mix, text_bytes, word_hashes
+from .shingles import PUNCTUATION, chunks, text_bytes, word_hashes
 
 MAX_EDITS = 0.2
 LEAST_WORDS = 8
-ROUNDS, SAMPLE = 24, 4
-#: Numbers of steps of the embeddings; an item uses the largest that it has words for.
-STEPS = (8, 12, 18, 27, 40, 60)
 BLOCK_BYTES = 8 << 20
-_RUN = 8  # word pairs looked at together first
+#: Places and items looked at together.
+_AT_ONCE = 1 << 20
 _SLOTS = 1 << 22
 
-_RNG = np.random.default_rng(31)
-_WALK = _RNG.integers(1, 2**62, (ROUNDS, max(STEPS)), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_TAKE = {m: np.sort(np.stack([_RNG.permutation(m)[:SAMPLE] for _ in range(ROUNDS)]), axis=1) for m in STEPS}
-
 
 def allowed(words: int) -> int:
     return int(MAX_EDITS * words)
 
 
-def embed(words: np.ndarray, start: np.ndarray, stop: np.ndarray, steps: int, turn: int) -> np.ndarray:
-    """Sampled CGK embeddings, as hashes, of what starts at ``start``; beyond ``stop`` there is word 0."""
-    at, key, take = start.copy(), np.zeros(len(start), dtype=np.uint64), set(_TAKE[steps][turn].tolist())
-    for j in range(max(take) + 1):
-        w = np.where(at < stop, words[np.minimum(at, len(words) - 1)], np.uint64(0))
-        if j in take:
-            key = mix(key + w + np.uint64(j))
-        at += (w * _WALK[turn, j] >> np.uint64(63)).astype(np.int64)
-    return key
-
-
 def window_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least word edits from ``item`` to any window of ``text``, and where that window ends."""
     n = len(text)
@@ -86,79 +68,115 @@ class Index:
         use = np.flatnonzero(count >= LEAST_WORDS)
         self.ids = [items[i][0] for i in use]
         self.words = [h[first[i] : first[i] + count[i]] for i in use]
-        self.slots = np.zeros(_SLOTS, dtype=bool)
-        self.least = _RUN
-        for w in self.words:
-            self.slots[pair_slots(w)] = True
-            need = len(w) - 1 - 2 * allowed(len(w))
-            self.least = max(1, min(self.least, -(-need // -(-(len(w) - 1) // _RUN))))
-        self.lengths = sorted({len(w) for w in self.words})
-        self.keys = {}
-        for m in STEPS:
-            mine = [i for i, w in enumerate(self.words) if steps_for(len(w)) == m]
-            if mine:
-                flat = np.concatenate([self.words[i] for i in mine])
-                size = np.array([len(self.words[i]) for i in mine])
-                begin = np.cumsum(size) - size
-                for turn in range(ROUNDS):
-                    key = embed(flat, begin, begin + size, m, turn)
-                    order = np.argsort(key, kind="stable")
-                    self.keys[m, turn] = key[order], np.array(mine)[order]
+        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.edits = np.array([allowed(n) for n in self.size.tolist()], dtype=np.int64)
+        self.need = self.size - 1 - 2 * self.edits
+        pairs = [pair_keys(w) for w in self.words]
+        self.pairs = Postings([np.unique(p) for p in pairs])
+        # Positions count, not distinct pairs: 2k + 1 positions of the rarest pairs.
+        rare = [p[np.argsort(self.pairs.frequency(p), kind="stable")[: 2 * k + 1]] for p, k in zip(pairs, self.edits.tolist(), strict=True)]
+        self.anchors = Postings([np.unique(p) for p in rare])
 
     def search(self, h: np.ndarray, count: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         """(document, item) -> (edits, first word after the window) for documents whose words lie end to end in ``h``."""
-        if len(h) < LEAST_WORDS or not self.words:
-            return {}
-        hit = np.zeros(len(h) + 1, dtype=np.int64)
-        hit[1:-1] = self.slots[pair_slots(h)]
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(h) < 2 or not self.words:
+            return best
         ends = np.cumsum(count)
-        some = np.flatnonzero(count > 0)
-        hit[ends[some]] = 0  # no pair reaches into the next document
-        seen = np.cumsum(hit)  # pairs that start before each word
-        dense = seen[np.minimum(np.arange(len(h)) + _RUN, len(h))] - seen[:-1] >= self.least
         owner = np.repeat(np.arange(len(count)), count)
+        keys = pair_keys(h)
+        inside = owner[:-1] == owner[1:]  # no pair reaches into the next document
+        at, term = self.pairs.look_up(keys, np.flatnonzero(inside))
+        seen = np.zeros(len(h) + 1, dtype=np.int64)
+        seen[at + 1] = 1
+        seen = np.cumsum(seen)  # pairs of any item that start before each word
+        n = len(self.words)
+        likely = []
+        for pos, x in self.anchors.expand(*self.anchors.look_up(keys, at)):
+            doc, reach = owner[pos], self.size[x] + self.edits[x] - 2
+            a, b = np.maximum(pos - reach, ends[doc] - count[doc]), np.minimum(pos + reach + 1, ends[doc])
+            likely.append(np.unique((doc * n + x)[seen[b] - seen[a] >= self.need[x]]))
+        likely = np.unique(np.concatenate(likely)) if likely else np.zeros(0, dtype=np.int64)
+        if not len(likely):
+            return best
         docs = np.zeros(len(count), dtype=bool)
-        docs[owner[dense]] = True
-        at = np.flatnonzero(docs[owner])
-        if not len(at):
-            return {}
-        stop = ends[owner[at]]
-        found = set()
-        starts = {}
-        for n in self.lengths:
-            k = allowed(n)
-            ok = seen[np.minimum(at + n + k - 1, stop)] - seen[at] >= n - 1 - 2 * k
-            m = steps_for(n)
-            starts[m] = starts.get(m, np.zeros(len(at), dtype=bool)) | ok
-        for m, ok in starts.items():
-            s, e = at[ok], stop[ok]
-            if not len(s):
-                continue
-            for turn in range(ROUNDS):
-                keys, items = self.keys[m, turn]
-                key = embed(h, s, e, m, turn)
-                low, high = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
-                for i in np.flatnonzero(high > low).tolist():
-                    found.update((int(s[i]), int(x)) for x in items[low[i] : high[i]])
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for s, x in sorted(found):
-            w, doc = self.words[x], int(owner[s])
-            k = allowed(len(w))
-            if best.get((doc, x), (k + 1, 0))[0] == 0:
-                continue
-            a, b = max(s - k, int(ends[doc] - count[doc])), min(s + len(w) + k, int(ends[doc]))
-            edits, end = window_distance(w, h[a:b])
-            if edits <= k and edits < best.get((doc, x), (k + 1, 0))[0]:
-                best[doc, x] = edits, a + end - int(ends[doc] - count[doc])
+        docs[likely // n] = True
+        use = docs[owner[at]]
+        places, cases = [], []
+        for pos, x in self.pairs.expand(at[use], term[use]):
+            case = owner[pos] * n + x
+            i = np.minimum(np.searchsorted(likely, case), len(likely) - 1)
+            ok = likely[i] == case
+            places.append(pos[ok])
+            cases.append(case[ok])
+        pos, case = np.concatenate(places), np.concatenate(cases)
+        order = np.lexsort((pos, case))
+        pos, case = pos[order], case[order]
+        x = case % n
+        last = np.arange(len(pos)) + self.need[x] - 1
+        i = np.flatnonzero(last < len(pos))
+        last = last[i]
+        longest = self.size[x[i]] + self.edits[x[i]]
+        ok = (case[last] == case[i]) & (pos[last] - pos[i] <= longest - 2)
+        i, last, longest = i[ok], last[ok], longest[ok]
+        if not len(i):
+            return best
+        doc = case[i] // n
+        a, b = np.maximum(pos[last] + 2 - longest, ends[doc] - count[doc]), np.minimum(pos[i] + longest, ends[doc])
+        # Stretches of a case that meet become one.
+        new = np.ones(len(i), dtype=bool)
+        new[1:] = (case[i][1:] != case[i][:-1]) | (a[1:] > b[:-1])
+        starts = np.flatnonzero(new)
+        stops = np.append(starts[1:], len(i)) - 1
+        for c, s, e in zip(case[i][starts].tolist(), a[starts].tolist(), b[stops].tolist(), strict=True):
+            d, y = divmod(c, n)
+            edits, end = window_distance(self.words[y], h[s:e])
+            if edits <= self.edits[y] and edits < best.get((d, y), (edits + 1, 0))[0]:
+                best[d, y] = edits, s + end - int(ends[d] - count[d])
         return best
 
 
-def pair_slots(h: np.ndarray) -> np.ndarray:
-    return ((h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(42)).astype(np.int64)
+class Postings:
+    """The items that have each pair."""
+
+    def __init__(self, pairs: list[np.ndarray]):
+        flat = np.concatenate([*pairs, np.zeros(0, dtype=np.uint64)])
+        items = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.items = items[order]
+        self.slots = np.zeros(_SLOTS, dtype=bool)
+        self.slots[pair_slots(self.keys)] = True
+
+    def frequency(self, pairs: np.ndarray) -> np.ndarray:
+        return self.count[np.searchsorted(self.keys, pairs)]
+
+    def look_up(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the places ``at`` whose pair some item has, and the pair's number."""
+        at = at[self.slots[pair_slots(keys[at])]]
+        term = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        ok = self.keys[term] == keys[at]
+        return at[ok], term[ok]
+
+    def expand(self, at: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, item) for each item of each place, in pieces of bounded size."""
+        total = np.cumsum(self.count[term])
+        start = done = 0
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(total, done + _AT_ONCE, side="right")))
+            size = self.count[term[start:stop]]
+            begin = np.cumsum(size) - size
+            where = np.arange(int(size.sum())) + np.repeat(self.first[term[start:stop]] - begin, size)
+            yield np.repeat(at[start:stop], size), self.items[where]
+            start, done = stop, int(total[stop - 1])
+
+
+def pair_keys(h: np.ndarray) -> np.ndarray:
+    return (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def steps_for(words: int) -> int:
-    return max(m for m in STEPS if m <= words)
+def pair_slots(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(42)).astype(np.int64)
 
 
 _FOUND = "doc_id long, item_id long, edits int, item_words int, end_word long"
