@@ -17,6 +17,12 @@ def test_others_have_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def test_every_version_of_every_object_is_listed(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn").collect()
+    got = catalogue.QUERIES["list_versions_all"](spark, SF).collect()
+    assert sorted((r.object_id, r.version) for r in got) == sorted((t.conv_id, t.turn + 1) for t in turns)
+
+
 def test_entry_imports_and_runs(spark):
     import __spark_entry__ as e
 

@@ -39,6 +39,11 @@ def _(spark, d):
     return views.conversations(spark, d).where("object_id % 3 = 0").select("object_id", "version", "size_bytes", "manifest_id")
 
 
+@query("list_versions_all", C_SQL + "select object_id, version, size_bytes, manifest_id from c")
+def _(spark, d):
+    return views.conversations(spark, d).select("object_id", "version", "size_bytes", "manifest_id")
+
+
 @query("version_lookup", C_SQL + "select object_id, version, manifest_id from c where version = 2")
 def _(spark, d):
     return views.conversations(spark, d).where("version = 2").select("object_id", "version", "manifest_id")
