@@ -240,6 +240,16 @@ def test_decontamination_finds_every_window_at_the_limit(size, how):
         assert got.get((d, i)) == decontamination.window_distance(decontamination.Index(items[i : i + 1]).words[0], own)
 
 
+def test_decontamination_finds_short_items():
+    items = [(1, "Yes!"), (2, "alpha beta"), (3, "one two three four"), (4, "five six seven eight nine"), (5, "a b c d e f g"), (6, "日本語")]
+    texts = ["yes and, yes", "so alpha; BETA", "alpha x beta", "one two three four", "one two three x", "five six x eight nine", "five six x eight x", "z a b c d e f g z", "a b c e f g", "日本語 です", "yesterday", ""]
+    h, n, _, _ = shingles.word_hashes(*shingles.text_bytes(pa.array(texts)), shingles.PUNCTUATION)
+    index = decontamination.Index(items)
+    got = {(d, index.ids[x]): v for (d, x), v in index.search(h, n).items()}
+    assert got == {(0, 1): (0, 1), (1, 2): (0, 3), (3, 3): (0, 4), (5, 4): (1, 5), (7, 5): (0, 8), (8, 5): (1, 6), (9, 6): (0, 1)}
+    assert decontamination.Index(items[:1]).search(h[:1], np.array([1])) == {(0, 0): (0, 1)}
+
+
 def test_decontamination_of_pairs_too_far_apart():
     item = [f"w{i}" for i in range(20)]
     text = " ".join(w if i % 4 else w + " x x x x x x x x" for i, w in enumerate(item))

@@ -12,8 +12,9 @@ is contaminated by an item of L words if some window of it is within ``floor(MAX
 
 No step samples: every window within the limit is found, wherever its edits lie.
 
-Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, each of which is one more pass; an item
-of fewer than ``LEAST_WORDS`` words is not searched for, as it would be found by chance.
+Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, each of which is one more pass. Short items
+follow the same rule: up to 4 words allow no edit, 5 to 9 one. An item of one word has no pair and is looked up as a word. In a script without blanks
+a run of letters is one word, so an item of one run is found only where the same run stands.
 
 Defined cases: null and empty texts hold nothing; null items are ignored; null doc_ids and
 item_ids are carried; equal documents get equal rows, one for each input row; no items, no rows; a very long item is handled like
@@ -33,7 +34,6 @@ from .common import table
 from .shingles import PUNCTUATION, chunks, text_bytes, word_hashes
 
 MAX_EDITS = 0.2
-LEAST_WORDS = 8
 BLOCK_BYTES = 8 << 20
 #: Places and items looked at together.
 _AT_ONCE = 1 << 20
@@ -65,12 +65,13 @@ class Index:
         data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
         h, count, _, _ = word_hashes(data, offsets, PUNCTUATION)
         first = np.cumsum(count) - count
-        use = np.flatnonzero(count >= LEAST_WORDS)
+        use = np.flatnonzero(count)
         self.ids = [items[i][0] for i in use]
         self.words = [h[first[i] : first[i] + count[i]] for i in use]
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
         self.edits = np.array([allowed(n) for n in self.size.tolist()], dtype=np.int64)
         self.need = self.size - 1 - 2 * self.edits
+        self.single = Postings([w if len(w) == 1 else w[:0] for w in self.words])
         pairs = [pair_keys(w) for w in self.words]
         self.pairs = Postings([np.unique(p) for p in pairs])
         # Positions count, not distinct pairs: 2k + 1 positions of the rarest pairs.
@@ -80,10 +81,15 @@ class Index:
     def search(self, h: np.ndarray, count: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         """(document, item) -> (edits, first word after the window) for documents whose words lie end to end in ``h``."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        if len(h) < 2 or not self.words:
+        if not len(h) or not self.words:
             return best
         ends = np.cumsum(count)
         owner = np.repeat(np.arange(len(count)), count)
+        for pos, x in self.single.expand(*self.single.look_up(h, np.arange(len(h)))):
+            case, first = np.unique(owner[pos] * len(self.words) + x, return_index=True)
+            for c, p in zip(case.tolist(), pos[first].tolist(), strict=True):
+                d, y = divmod(c, len(self.words))
+                best.setdefault((d, y), (0, p + 1 - int(ends[d] - count[d])))
         keys = pair_keys(h)
         inside = owner[:-1] == owner[1:]  # no pair reaches into the next document
         at, term = self.pairs.look_up(keys, np.flatnonzero(inside))
@@ -137,7 +143,7 @@ class Index:
 
 
 class Postings:
-    """The items that have each pair."""
+    """The items that have each pair, or each word."""
 
     def __init__(self, pairs: list[np.ndarray]):
         flat = np.concatenate([*pairs, np.zeros(0, dtype=np.uint64)])
@@ -153,6 +159,8 @@ class Postings:
 
     def look_up(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the places ``at`` whose pair some item has, and the pair's number."""
+        if not len(self.keys):
+            return at[:0], at[:0]
         at = at[self.slots[pair_slots(keys[at])]]
         term = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
         ok = self.keys[term] == keys[at]
