@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from vaultspark.plans import catalogue
 from vaultspark.plans.vault import Vault
 from vaultspark.streaming import watcher
 from vaultspark.streaming.watcher import WatchConfig, WatchState
@@ -90,6 +91,14 @@ def test_stream_equals_replay(spark, tmp_path):
     assert got and set(got) <= set(whole)
 
 
+def test_autoingest_runs_a_stream_that_loses_no_action(spark, monkeypatch):
+    sf, ran = "/root/testdata/sf0.001", []
+    whole = watcher.replay(catalogue._folder_events(spark.read.parquet(f"{sf}/events.parquet")), WatchConfig(debounce=3, cooldown=60)).collect()
+    monkeypatch.setattr(watcher, "watch", lambda events, *a, f=watcher.watch: ran.append(events.isStreaming) or f(events, *a))
+    got = catalogue.QUERIES["stream_autoingest"](spark, sf).collect()
+    assert ran == [True] and whole and sorted(map(repr, got)) == sorted(map(repr, whole))
+
+
 def test_actions_and_reconciliation(spark, tmp_path):
     v = Vault.open(spark, str(tmp_path / "v"), sizes=(64, 256, 1024))
     disk = {"b": b"new", "c": b"see", "y": b"y"}

@@ -538,20 +538,23 @@ def _(spark, d):
 # The watcher over events as folder events.
 
 
-def _folder_events(spark, d):
+def _folder_events(events):
     kind = F.create_map(*[F.lit(x) for p in (("signup", "create"), ("click", "modify"), ("view", "modify"), ("purchase", "rename_both"), ("error", "remove")) for x in p])
     path = F.concat(F.lit("p"), F.col("user_id").cast("string"))
-    return views.table(spark, d, "events").select(
-        F.concat(F.lit("r"), (F.col("user_id") % 16).cast("string")).alias("watch_root"), "event_id", "ts", F.coalesce(F.element_at(kind, F.col("event_type")), F.lit("modify")).alias("kind"), path.alias("path"), F.concat(path, F.lit("-moved")).alias("to_path"), F.lit(None).cast("long").alias("tracker")
+    return events.select(
+        F.concat(F.lit("r"), (F.col("user_id") % 16).cast("string")).alias("watch_root"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.element_at(kind, F.col("event_type")), F.lit("modify")).alias("kind"), path.alias("path"), F.concat(path, F.lit("-moved")).alias("to_path"), F.lit(None).cast("long").alias("tracker")
     )
 
 
 @query("cooldown_batch")
 def _(spark, d):
-    e = _folder_events(spark, d).where("kind in ('create', 'modify')")
+    e = _folder_events(views.table(spark, d, "events")).where("kind in ('create', 'modify')")
     return watcher.replay(e, watcher.WatchConfig(debounce=60, cooldown=3600)).select("watch_root", "seq", "action", "path", "at")
 
 
 @query("stream_autoingest")
 def _(spark, d):
-    return watcher.replay(_folder_events(spark, d), watcher.WatchConfig(debounce=3, cooldown=60))
+    config, events = watcher.WatchConfig(debounce=3, cooldown=60), views.table(spark, d, "events")
+    # A file stream takes a folder or a pattern; the table can be one file.
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")
+    return watcher.ingest(_folder_events(stream), watcher.closing(_folder_events(events), config), config)

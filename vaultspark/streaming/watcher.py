@@ -10,6 +10,8 @@ Missed events are repaired by :func:`reconcile`.
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -181,9 +183,9 @@ _COLUMNS = ["watch_root", "seq", "action", "path", "to_path", "at"]
 
 
 def _events(pdf: pd.DataFrame) -> list[tuple]:
-    pdf = pdf.sort_values(["ts", "event_id"])
+    pdf = pdf.sort_values(["us", "event_id"])
     none = lambda x: None if x is None or x != x else x
-    return [(r.kind, r.path, none(r.to_path), None if none(r.tracker) is None else int(r.tracker), r.ts.timestamp()) for r in pdf.itertuples()]
+    return [(r.kind, r.path, none(r.to_path), None if none(r.tracker) is None else int(r.tracker), r.us / 1e6) for r in pdf.itertuples()]
 
 
 def watch(events: DataFrame, config: WatchConfig = WatchConfig(), lateness: str = "5 seconds") -> DataFrame:
@@ -204,10 +206,29 @@ def watch(events: DataFrame, config: WatchConfig = WatchConfig(), lateness: str
             state.setTimeoutTimestamp(max(int(due * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    keyed = events.withWatermark("ts", lateness).groupBy("watch_root")
+    keyed = events.withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts")).groupBy("watch_root")
     return keyed.applyInPandasWithState(step, ACTIONS, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def closing(events: DataFrame, config: WatchConfig) -> DataFrame:
+    """For each root one event of no kind, so late that all that waits falls due before it."""
+    wait = config.debounce + config.cooldown + RENAME_TIMEOUT + 1
+    last = events.groupBy("watch_root").agg(F.max("event_id").alias("event_id"), (F.max("ts") + F.make_dt_interval(secs=F.lit(wait))).alias("ts"))
+    return last.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("path", "string"), ("to_path", "string"), ("tracker", "long"))])
+
+
+def ingest(stream: DataFrame, close: DataFrame, config: WatchConfig = WatchConfig()) -> DataFrame:
+    """All actions of :func:`watch` over what ``stream`` has now (availableNow, one batch); ``close`` brings what still waits at its end."""
+    spark = stream.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vaultspark-")
+    path = f"{root.rstrip('/')}/vaultspark/watch-{uuid.uuid4().hex}"
+    close.write.parquet(f"{path}/close")
+    both = stream.unionByName(spark.readStream.schema(close.schema).parquet(f"{path}/close"))
+    run = watch(both, config).writeStream.format("parquet").outputMode("append").option("path", f"{path}/actions").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(ACTIONS).parquet(f"{path}/actions")
+
+
 def replay(events: DataFrame, config: WatchConfig = WatchConfig()) -> DataFrame:
     """Actions of a finished table of events; a root's events stream through its task in order."""
 
