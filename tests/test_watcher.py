@@ -99,6 +99,44 @@ def test_autoingest_runs_a_stream_that_loses_no_action(spark, monkeypatch):
     assert ran == [True] and whole and sorted(map(repr, got)) == sorted(map(repr, whole))
 
 
+def test_a_locked_put_is_tried_again(spark):
+    class Store:
+        def __init__(self):
+            self.stored, self.on, self.moved = [], [], []
+
+        def put(self, names):
+            self.stored.append(names)
+
+        def track(self, root, names, on=True):
+            self.on += names
+
+        def tracked(self, root):
+            return spark.createDataFrame([], "name string")
+
+        def move(self, pairs, whole=True):
+            self.moved += pairs
+
+    now, locked = [100.0], {"a": 2, "b": 99}
+
+    def read(names):
+        for n in names:
+            if locked.get(n, 0):
+                locked[n] -= len(names) == 1
+                raise BlockingIOError(n)
+        return names
+
+    acts = spark.createDataFrame([("r", i, "put", p, None, 0.0) for i, p in enumerate("abc")], watcher.ACTIONS)
+    store = Store()
+    sleep = lambda s: now.__setitem__(0, now[0] + s)
+    left = watcher.apply_actions(store, acts, read, "r", WatchConfig(debounce=1), patience=10, clock=lambda: now[0], sleep=sleep)
+    assert store.stored == [["c"], ["a"]] and store.on == ["c", "a"]
+    assert list(left.updates) == ["b"] and left.updates["b"][1] == 4 and now[0] == pytest.approx(107)
+    locked.clear()
+    move = spark.createDataFrame([("r", 9, "move", "b", "d", 0.0)], watcher.ACTIONS)
+    left = watcher.apply_actions(store, move, read, "r", WatchConfig(debounce=1), left, clock=lambda: now[0], sleep=sleep)
+    assert store.moved == [("b", "d")] and store.stored[-1] == ["d"] and not left.updates
+
+
 def test_actions_and_reconciliation(spark, tmp_path):
     v = Vault.open(spark, str(tmp_path / "v"), sizes=(64, 256, 1024))
     disk = {"b": b"new", "c": b"see", "y": b"y"}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vaultspark.functions.errors import Conflict
 from vaultspark.operators import relops
 
 #: Fixed value: seconds that a rename's first half waits for its second.
@@ -258,25 +260,51 @@ def replay(events: DataFrame, config: WatchConfig = WatchConfig()) -> DataFrame:
     return dealt.select("watch_root", "kind", "path", "to_path", "tracker", (F.col("us") / 1e6).alias("t")).mapInArrow(run, ACTIONS)
 
 
-def apply_actions(vault, actions: DataFrame, read, watch_root: str) -> None:
+#: What a put that meets a lock raises: a file in use, or a vault that others keep writing.
+LOCKED = (BlockingIOError, PermissionError, Conflict)
+
+
+def apply_actions(vault, actions: DataFrame, read, watch_root: str, config: WatchConfig = WatchConfig(), waiting: WatchState | None = None, patience: float = 60.0, clock=time.time, sleep=time.sleep) -> WatchState:
     """Carry out one batch of a root's actions in order; ``read(paths)`` gives (name, content) of those that exist.
 
-    Runs of puts make one commit. For ``foreachBatch``.
+    Runs of puts make one commit. Where it meets a lock that ``read`` or the commit raises here, each file is put by itself, and what is locked is tried again with
+    back-off for up to ``patience`` seconds after the batch. What is locked even then is in the state that is returned, for the next call's
+    ``waiting``. For ``foreachBatch``.
     """
     rows = actions.where(F.col("watch_root") == watch_root).orderBy("seq").collect()
     puts: list[str] = []
+    waiting = waiting or WatchState()
+
+    def put(paths: list[str]) -> None:
+        try:
+            vault.put(read(paths))
+        except LOCKED:
+            if len(paths) > 1:
+                for p in paths:
+                    put([p])
+            else:
+                waiting.failed(paths[0], clock(), config)
+            return
+        vault.track(watch_root, paths)
+        for p in paths:
+            waiting.updates.pop(p, None)
 
     def flush():
         if puts:
-            vault.put(read(list(dict.fromkeys(puts))))
-            vault.track(watch_root, list(dict.fromkeys(puts)))
+            paths = list(dict.fromkeys(puts))
             puts.clear()
+            put(paths)
 
     for r in rows:
         if r.action == "put":
             puts.append(r.path)
             continue
         flush()
+        # What waits for a lock goes with its folder.
+        for p in [p for p in waiting.updates if p == r.path or p.startswith(r.path + "/")]:
+            entry = waiting.updates.pop(p)
+            if r.action == "move":
+                waiting.updates[r.to_path + p[len(r.path) :]] = entry
         tracked = {t.name for t in vault.tracked(watch_root).collect()}
         mine = sorted(t for t in tracked if t == r.path or t.startswith(r.path + "/"))
         if r.action == "move":
@@ -289,6 +317,13 @@ def apply_actions(vault, actions: DataFrame, read, watch_root: str) -> None:
             vault.move([(m, None) for m in mine], whole=False)
             vault.track(watch_root, mine, on=False)
     flush()
+    until = clock() + patience
+    while (due := waiting.next_time()) is not None and due <= until:
+        if due > clock():
+            sleep(due - clock())
+        for p in [p for p, (t, _) in waiting.updates.items() if t <= due]:
+            put([p])
+    return waiting
 
 
 def reconcile(vault, watch_root: str, listing: DataFrame, complete: bool, renames_pending: bool = False, generation_changed: bool = False) -> tuple[DataFrame, DataFrame]:
