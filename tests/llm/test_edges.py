@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing extra columns, for every operator."""
 
+import hashlib
 import random
 import zlib
 
@@ -240,6 +241,15 @@ def test_decontamination_finds_every_window_at_the_limit(size, how):
         assert got.get((d, i)) == decontamination.window_distance(decontamination.Index(items[i : i + 1]).words[0], own)
 
 
+def test_flac_digests_come_from_stored_streams(spark):
+    out = flac.query(spark, "/root/testdata/sf0.001")
+    (folder,) = {f.rsplit("/", 1)[0] for f in out.inputFiles()}
+    stored = {r.doc_id: r for r in spark.read.parquet(folder).collect()}
+    got = out.collect()
+    assert "/media-" in folder and len(got) == len(stored)
+    assert all(r.media_bytes == len(stored[r.doc_id].media) and r.media_sha256 == hashlib.sha256(stored[r.doc_id].media).hexdigest() for r in got)
+
+
 def test_decontamination_finds_short_items():
     items = [(1, "Yes!"), (2, "alpha beta"), (3, "one two three four"), (4, "five six seven eight nine"), (5, "a b c d e f g"), (6, "日本語")]
     texts = ["yes and, yes", "so alpha; BETA", "alpha x beta", "one two three four", "one two three x", "five six x eight nine", "five six x eight x", "z a b c d e f g z", "a b c e f g", "日本語 です", "yesterday", ""]

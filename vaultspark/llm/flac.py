@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
 BLOCK = 1024
 PAD = 64
@@ -513,5 +513,5 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = to_media(table(spark, sf_dir, "documents"))
+    media = stage(to_media(table(spark, sf_dir, "documents")), "media")
     return media.mapInArrow(_read_batches, _OUT)
