@@ -250,6 +250,24 @@ def test_flac_digests_come_from_stored_streams(spark):
     assert all(r.media_bytes == len(stored[r.doc_id].media) and r.media_sha256 == hashlib.sha256(stored[r.doc_id].media).hexdigest() for r in got)
 
 
+def test_flac_uses_every_order():
+    rng = np.random.default_rng(3)
+    kinds, payloads = set(), []
+    for o in range(5):
+        for n in (64, 1000, 1024, 1500):
+            t = np.arange(n)
+            x = [rng.integers(-9, 9, n), np.cumsum(rng.integers(-2, 3, n)) % 60, 100 * np.sin(t / 9), 110 * np.sin(t / 5.0), 120 * np.sin(t / 3.2)][o]
+            payloads.append((np.clip(np.round(x), -128, 127).astype(np.int64) + 128).astype(np.uint8).tobytes())
+    payloads += [rng.integers(0, 256, 1024).astype(np.uint8).tobytes(), bytes([0, 255] * 512), bytes(64)]
+    streams = flac.encode(payloads)
+    assert flac.decode(streams) == payloads
+    for s, p in zip(streams, payloads, strict=True):
+        assert bytes((v + 128) & 255 for v in flac.decode_any(s)) == p
+        head = flac._Stream(s).first
+        kinds.add(s[head + 8] >> 1)  # frame 0: sync 2, codes 2, number 1, size 2, CRC-8 1
+    assert {8, 9, 10, 11, 12} <= kinds
+
+
 def test_decontamination_finds_short_items():
     items = [(1, "Yes!"), (2, "alpha beta"), (3, "one two three four"), (4, "five six seven eight nine"), (5, "a b c d e f g"), (6, "日本語")]
     texts = ["yes and, yes", "so alpha; BETA", "alpha x beta", "one two three four", "one two three x", "five six x eight nine", "five six x eight x", "z a b c d e f g z", "a b c e f g", "日本語 です", "yesterday", ""]

@@ -33,6 +33,8 @@ PAD = 64
 RATE = 8000
 #: Rice parameters the encoder uses; no code has 32 zeros or more.
 _K = range(3, 9)
+#: Orders 0 to 4 of the fixed predictors.
+_ORDERS = 5
 #: A batch is decoded in pieces of about so many samples.
 PIECE = 2 << 20
 
@@ -112,7 +114,7 @@ def _fixed_frames(samples: np.ndarray, first: np.ndarray, size: np.ndarray):
     at = np.arange(len(samples)) - np.repeat(first, size)
     codes = {}
     x = samples.astype(np.int32)
-    for o in range(3):
+    for o in range(_ORDERS):
         if o:
             d = x.copy()
             d[1:] -= x[:-1]
@@ -153,7 +155,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     at = np.arange(len(raw)) - first[frame]
     o, k = order[frame], param[frame]
     fixed = o >= 0
-    z = np.choose(np.clip(o, 0, 2), [codes[0], codes[1], codes[2]]).astype(np.int64)
+    z = np.choose(np.clip(o, 0, _ORDERS - 1), [codes[i] for i in range(_ORDERS)]).astype(np.int64)
     rice = fixed & (at >= o)
     width = np.where(rice, (z >> k) + 1 + k, 8)
     width[(o == -2) & (at > 0)] = 0
@@ -285,7 +287,7 @@ def _decode_fixed(data: np.ndarray, bit: np.ndarray, order: np.ndarray, size: np
     """FIXED subframes with one Rice partition; frames come longest first."""
     words = np.ndarray(shape=(len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))
     n = len(bit)
-    warm = np.zeros((n, 3), dtype=np.int64)
+    warm = np.zeros((n, _ORDERS), dtype=np.int64)
     for j in range(int(order.max(initial=0))):
         use = order > j
         warm[use, j] = (data[bit[use] // 8 + j]).astype(np.int8)
@@ -313,18 +315,17 @@ def _decode_fixed(data: np.ndarray, bit: np.ndarray, order: np.ndarray, size: np
     z = np.empty((n, most), dtype=np.int16)
     z[turn] = codes.T
     x = ((z >> 1) ^ -(z & 1)).astype(np.int32)
-    for o in range(3):
+    for o in range(_ORDERS):
         use = np.flatnonzero(order == o)
         if not len(use):
             continue
-        r = x[use]
-        full = np.concatenate([warm[use, :o].astype(np.int32), r], axis=1)
-        if o == 1:
-            full = np.cumsum(full, axis=1, dtype=np.int32)
-        elif o == 2:
-            full[:, 1] -= full[:, 0]
-            full[:, 1:] = np.cumsum(full[:, 1:], axis=1, dtype=np.int32)
-            full = np.cumsum(full, axis=1, dtype=np.int32)
+        # The j-th differences begin with the warm-up samples' own; each sum undoes one difference.
+        full, begins, d = x[use], [], warm[use, :o].astype(np.int32)
+        for _ in range(o):
+            begins.append(d[:, :1])
+            d = np.diff(d, axis=1)
+        for first in reversed(begins):
+            full = np.cumsum(np.concatenate([first, full], axis=1), axis=1, dtype=np.int32)
         wide = min(full.shape[1], out.shape[1])
         out[rows[use], :wide] = full[:, :wide].astype(np.int16)
 
