@@ -402,3 +402,44 @@ def test_staged_tables_are_released(spark):
     assert df.count() == 3 and os.path.isdir(path)
     release(spark, "t")
     assert not os.path.exists(path)
+
+
+def thue_morse(n: int, a: str = "a", b: str = "b") -> str:
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_of_the_thue_morse_kind_stay_apart(spark):
+    """Hashes that are polynomials in one base modulo 2^64 give such words one value."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    for n in (1024, 2048):
+        words = [thue_morse(n), thue_morse(n, "b", "a")]
+        h = shingles.word_hashes(*shingles.text_bytes(pa.array([" ".join(words)])))[0]
+        assert h[0] != h[1]
+        text = " ".join([words[0], "c", "d", "e", "f", words[1], "c", "d", "e", "f", words[0], "c"])
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert jaccard_join.jaccard_components(df).first().n_shingles == len({tuple(text.split()[i : i + 5]) for i in range(8)})
+        path = public_tokenizers.path("byte_bpe_50k.json")
+        want = np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert Encoder.of(path).encode([text]) == [want] and Encoder.of(path).fast
+
+
+def test_ids_where_the_fast_way_is_not_known_to_agree(tmp_path):
+    """A vocabulary with an entry that its own merges cannot reach is left to the tokenizer; long blanks and added tokens too."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    spec = json.load(open(path))
+    a, b = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"][:2])
+    spec["model"]["merges"][0], spec["model"]["merges"][1] = b, a
+    own = tmp_path / "odd.json"
+    own.write_text(json.dumps(spec))
+    for p, fast in ((path, True), (str(own), False)):
+        e, t = Encoder(p), Tokenizer.from_file(p)
+        assert (e.fast is not None) == fast
+        for text in ("the then there", "a <|endoftext|> b", "x" + " " * 30_000 + "y", "日本 語 é"):
+            assert e.encode([text]) == [np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]

@@ -24,8 +24,9 @@ are one class with the smallest doc_id as its representative.
 Defined cases: null and empty texts, and texts without words, have no shingles and
 link with nothing; null doc_ids are classes like any others, whose component_id is the
 smallest known doc_id of the component (null if there is none); repeated rows are copies; an empty table gives no rows;
-extra columns are ignored. Sets are told apart by 63-bit hashes of the sets: two different sets of a
-billion meet with odds of 5 percent.
+extra columns are ignored. Shingles are 64-bit hashes of words' 64-bit hashes, with a random multiplier for each byte's
+and each word's place; a set with another hash for one shingle would need two of a pair's shingles to meet. Whole sets are told apart by
+128 bits and their size.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 1500, 1_500_000
 #: Rows taken out of an Arrow batch at once.
 SLICE = 512
 _ALL = 0xFFFF
-_DOC = np.dtype([("doc", "<i8"), ("known", "u1"), ("text", "<i8"), ("node", "<i8"), ("n", "<i4"), ("need", "<i4")])
+_DOC = np.dtype([("doc", "<i8"), ("known", "u1"), ("text", "<i8"), ("node", "<i8"), ("check", "<i8"), ("n", "<i4"), ("need", "<i4")])
 _PACKED = "bucket int, batch long, kind int, a binary, b binary"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -76,10 +77,10 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def set_nodes(s: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """63-bit hashes of whole sets."""
+def set_keys(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of whole sets that share no step: sums of differently mixed shingles, and the size."""
     a, b = _sums(mix(s), n), _sums(mix(s ^ np.uint64(0x5DEECE66D)), n)
-    return (mix(a ^ mix(b + n.astype(np.uint64))) >> np.uint64(1)).astype(np.int64)
+    return mix(a + n.astype(np.uint64)).view(np.int64), mix(b).view(np.int64)
 
 
 def _by_bucket(order_key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +102,8 @@ def _deal(buckets: int):
                 ids = batch.column(0)
                 docs["doc"], docs["known"] = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
                 docs["text"] = batch.column(1).to_numpy(zero_copy_only=False)
-                docs["node"], docs["n"] = set_nodes(s, n), n
+                docs["node"], docs["check"] = set_keys(s, n)
+                docs["n"] = n
                 owner = np.repeat(np.arange(len(n)), n)
                 half = s < np.uint64(1 << 63)
                 own = np.bincount(owner[half], minlength=len(n))
@@ -170,7 +172,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(out)
 
 
-_TOLD = "doc_id long, text_hash long, node long, n int, candidate boolean"
+_TOLD = "doc_id long, text_hash long, node long, check long, n int, candidate boolean"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +185,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 got[np.frombuffer(r[3], dtype=np.uint16)] += np.frombuffer(r[4], dtype=np.int32)
         candidate = (docs["n"] > 0) & (got >= docs["need"])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(docs["doc"], mask=docs["known"] == 0), pa.array(docs["text"]), pa.array(docs["node"]), pa.array(docs["n"]), pa.array(candidate)],
-            ["doc_id", "text_hash", "node", "n", "candidate"],
+            [pa.array(docs["doc"], mask=docs["known"] == 0), pa.array(docs["text"]), pa.array(docs["node"]), pa.array(docs["check"]), pa.array(docs["n"]), pa.array(candidate)],
+            ["doc_id", "text_hash", "node", "check", "n", "candidate"],
         )
 
 
@@ -399,8 +401,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     partial = dealt.mapInArrow(_shared, _PACKED).repartition("batch").select("batch", "bucket", "kind", "a", "b").sortWithinPartitions("batch", "kind")
     told = checkpointed(partial.mapInArrow(_judge, _TOLD))
 
-    classes = told.where("candidate").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"))
-    classes = checkpointed(classes.select("node", F.col("r.doc_id").alias("first"), F.col("r.text_hash").alias("text_hash")))
+    # Classes are told apart by both hashes; their numbers, which the steps below use, cannot meet.
+    keys = ["node", "check", "n"]
+    classes = told.where("candidate").groupBy(*keys).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"))
+    classes = classes.select(*[F.col(k).alias("set_" + k) for k in keys], F.col("r.doc_id").alias("first"), F.col("r.text_hash").alias("text_hash"))
+    classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
     chosen = own.join(classes, own.doc_id.eqNullSafe(classes["first"]) & (own.text_hash == classes.text_hash)).select("node", "text")
     packed = chosen.mapInArrow(_deal_sets(buckets), _PACKED).repartition("bucket").sortWithinPartitions("bucket", "batch", "kind")
     counted = packed.mapInArrow(_frequency, _PACKED).repartition("batch").select("batch", "bucket", "kind", "a", "b").sortWithinPartitions("batch", "bucket")
@@ -419,10 +424,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     firsts = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = firsts.join(least, "root").select("node", "component_id")
+    labels = firsts.join(least, "root").select(*[F.col("set_" + k).alias(k) for k in keys], "component_id")
     may, alone = told.where("candidate"), told.where("not candidate")
     return (
-        may.join(labels, "node")
+        may.join(labels, keys)
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
         .unionByName(alone.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     )

@@ -14,6 +14,7 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _BYTE[_BLANK] = 0
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = _RNG.integers(1, 2**62, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes that end words where punctuation is not part of them.
 PUNCTUATION = _BLANK.copy()
@@ -69,9 +70,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _BLA
     if not len(start):
         return np.zeros(0, dtype=np.uint64), np.zeros(texts, dtype=np.int64), none, none
     most = int((stop - start).max())
-    power = np.full(most, _ODD, dtype=np.uint64)
-    power[0] = 1
-    power = np.cumprod(power)
+    # A multiplier of its own for each place: powers of one base would give words of the Thue-Morse kind one hash.
+    power = mix(np.arange(1, most + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
     gap = np.diff(np.append(start, n))
     at = np.minimum(np.arange(start[0], n) - np.repeat(start, gap), most - 1)
     values = _BYTE if breaks is _BLANK else np.where(breaks, np.uint64(0), _BYTE)

@@ -1,89 +1,33 @@
-"""Byte-level BPE ids at the speed of numpy, equal to the tokenizer's own.
+"""Byte-level BPE ids: those of a ``tokenizers`` vocabulary file, at a quarter of its cost.
 
-BPE works inside pre-tokens, so a text's ids are its pre-tokens' ids in order.
-For a text of code points below 0x250 the byte-level pre-tokenizer's pattern is
-applied to the whole batch as array operations on character classes. Each distinct pre-token
-is then hashed, and only those not met before go to the tokenizer's model. The cache is emptied when it
-has ``LIMIT`` entries. Any other text goes to the tokenizer as it is.
+The file's vocabulary is given to ``tiktoken``, which merges the pair whose joined bytes have the least rank, where
+``tokenizers`` merges the pair that comes first in the list of merges. Both do the same if
+
+* ids after the single bytes rise with the merges that make them, and
+* every vocabulary entry, alone, is encoded as itself.
+
+(Two neighbours whose joined bytes are an entry t were made by merges inside t's bytes only, in the order in which
+these happen in t alone. There they end in t, so the two neighbours are the pair that t's merge names.) ``Encoder``
+checks both when it loads a file; where one fails, where the file has a normalizer, a
+post-processor or another pre-tokenizer, and for texts that hold an added token, ``tokenizers`` itself encodes.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import json
+from array import array
 
-#: Entries of a worker's cache (about 60 bytes each).
-LIMIT = 250_000
-#: Fixed value: the pattern that byte-level pre-tokenizers split by, for reference.
+#: Fixed value: the pattern that byte-level pre-tokenizers split by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_TOP = 0x250
-_LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
-
+#: Texts with runs of white space beyond this go to ``tokenizers``: the pattern's look-ahead walks back over a run.
+LONG_RUN = 10_000
 
-def _classes() -> np.ndarray:
-    import regex
 
-    out = np.full(_TOP, _OTHER, dtype=np.int8)
-    for i in range(_TOP):
-        c = chr(i)
-        out[i] = _LETTER if regex.match(r"\p{L}", c) else _NUMBER if regex.match(r"\p{N}", c) else _SPACE if regex.match(r"\s", c) else _OTHER
-    return out
-
-
-def _shown() -> dict[int, int]:
-    """Byte-level BPE's character for each byte: itself where it prints, else the next one from 256."""
+def byte_of() -> dict[str, int]:
+    """Byte-level BPE shows a byte as itself where that prints, else as the next character from 256."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in prints]
-    return {b: 256 + i for i, b in enumerate(hidden)}
-
-
-_SHOWN = _shown()
-_CLASS = None
-_RNG = np.random.default_rng(7)
-_MIX = _RNG.integers(1, 2**63, _TOP, dtype=np.int64).astype(np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-
-
-def starts_of(points: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Starts of the pre-tokens of texts that lie end to end in ``points`` and start at ``begin``."""
-    global _CLASS
-    if _CLASS is None:
-        _CLASS = _classes()
-    n = len(points)
-    kind = _CLASS[points]
-    first = np.zeros(n + 1, dtype=bool)  # starts of texts
-    first[begin] = True
-    first[n] = True
-    same = np.zeros(n, dtype=bool)
-    same[1:] = kind[1:] == kind[:-1]
-    same &= ~first[:n]
-    start = ~same  # starts of runs
-    space = kind == _SPACE
-    # The last character of a run of white space, if a text goes on after it, stands alone ...
-    last = np.flatnonzero(space[:-1] & ~space[1:] & ~first[1:n]) if n > 1 else np.zeros(0, dtype=np.int64)
-    start[last] = True
-    # ... or, being a blank, joins what follows.
-    blank = last[points[last] == 32]
-    start[blank + 1] = False
-    # Contractions: an apostrophe that is a whole run, not joined to a blank, takes its letters.
-    mark = np.flatnonzero((points == 39) & start)
-    mark = mark[(mark + 1 < n)]
-    mark = mark[(kind[mark + 1] == _LETTER) & ~first[mark + 1]]
-    if len(mark):
-        a = points[mark + 1]
-        two = mark + 2 < n
-        b = np.where(two, points[np.minimum(mark + 2, n - 1)], 0)
-        b = np.where(two & ~first[np.minimum(mark + 2, n)], b, 0)
-        pair = lambda x, y: (a == ord(x)) & (b == ord(y))
-        one = np.isin(a, [ord(c) for c in "stmd"])
-        both = ~one & (pair("r", "e") | pair("v", "e") | pair("l", "l"))
-        for who, k in ((mark[one], 1), (mark[both], 2)):
-            start[who + 1] = False
-            after = who + 1 + k
-            go = after < n
-            go[go] = ~first[after[go]] & (kind[after[go]] == _LETTER)
-            start[after[go]] = True
-    return np.flatnonzero(start)
+    return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 class Encoder:
@@ -100,78 +44,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at = np.zeros(1 << 16, dtype=np.int64)
-        self.size = np.zeros(1 << 16, dtype=np.int64)
-        self.flat = np.zeros(1 << 18, dtype="<u4")
-        self.used = 0
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.fast = self._fast(json.load(f))
+
+    def _fast(self, spec: dict):
+        """The same vocabulary for ``tiktoken``; None where the two are not known to agree."""
+        import tiktoken
+
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+        if model.get("type", "BPE") != "BPE" or not plain or spec.get("normalizer") or spec.get("post_processor") or any(model.get(k) for k in odd):
+            return None
+        vocab, shown = model["vocab"], byte_of()
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        made = [vocab.get(a + b) for a, b in merges]
+        singles = [vocab.get(c) for c in shown]
+        if None in made or None in singles or len(made) + len(singles) != len(vocab) or made != sorted(set(made)) or max(singles) >= made[0]:
+            return None
         tokenize = self.tokenizer.model.tokenize
-        for h, w in zip(hashes, words, strict=True):
-            ids, i = [t.id for t in tokenize(w.encode().decode("latin-1").translate(_SHOWN))], len(self.known)
-            if i == len(self.at):
-                self.at, self.size = np.resize(self.at, 2 * i), np.resize(self.size, 2 * i)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[i], self.size[i] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[h] = i
+        if any([t.id for t in tokenize(w)] != [i] for w, i in vocab.items()):
+            return None
+        ranks = {bytes(shown[c] for c in w): i for w, i in vocab.items()}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        out: list[bytes] = [b""] * len(texts)
-        plain = []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if "<|" not in t and (t.isascii() or max(t) < chr(_TOP)):
-                plain.append(i)
+        out = []
+        for text in texts:
+            if self.fast is None or any(a in text for a in self.added) or long_blank(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             else:
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if plain:
-            for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
-                out[i] = ids
+                ids = self.fast.encode_ordinary(text)
+            out.append(little(ids))
         return out
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        joined = "".join(texts)
-        points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
-        sizes = np.array([len(t) for t in texts])
-        begin = np.cumsum(sizes) - sizes
-        start = starts_of(points, begin)
-        end = np.append(start[1:], len(points))
-        width = end - start
-        power = np.empty(int(width.max()), dtype=np.uint64)
-        power[0] = 1
-        power[1:] = _BASE
-        power = np.cumprod(power)
-        h = np.add.reduceat(_MIX[points] * power[np.arange(len(points)) - np.repeat(start, width)], start)
-        code, unique = pd.factorize(h)
-        where = np.empty(len(unique), dtype=np.int64)
-        where[code[::-1]] = np.arange(len(code))[::-1]
-        keys = unique.tolist()
-        if len(self.known) + len(keys) > LIMIT:
-            self.clear()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            # The cache's keys are the hashes; 64 bits of a keyed sum, so that two words meet with odds of 2^-64.
-            spots = where[new]
-            self._learn([keys[i] for i in new], [joined[a:b] for a, b in zip(start[spots].tolist(), end[spots].tolist(), strict=True)])
-        known = self.known
-        index = np.array([known[k] for k in keys], dtype=np.int64)[code]
-        n = self.size[index]
-        ids_end = np.cumsum(n)
-        ids = self.flat[np.repeat(self.at[index] - (ids_end - n), n) + np.arange(int(ids_end[-1]))]
-        # Where each text's ids end: after its last pre-token.
-        last = np.searchsorted(start, np.append(begin[1:], len(points)), side="left") - 1
-        ends = ids_end[last]
-        raw, a, out = ids.tobytes(), 0, []
-        for b in ends.tolist():
-            out.append(raw[4 * a : 4 * b])
-            a = b
-        return out
+
+def long_blank(text: str) -> bool:
+    """Whether the text may have a run of more than ``LONG_RUN`` characters of white space."""
+    return len(text) > LONG_RUN and any(text[i].isspace() and text[i : i + LONG_RUN // 2].isspace() for i in range(0, len(text), LONG_RUN // 2))
+
+
+def little(ids: list[int]) -> bytes:
+    import sys
+
+    a = array("I", ids)
+    if sys.byteorder != "little":
+        a.byteswap()
+    return a.tobytes()
