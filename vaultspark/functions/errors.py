@@ -39,3 +39,7 @@ class WeakPassphrase(VaultError):
 
 class NotEncrypted(VaultError):
     """A passphrase was given for a plain store."""
+
+
+class WouldBlock(VaultError):
+    """A file kept changing while it was read."""

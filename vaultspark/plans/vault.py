@@ -8,6 +8,7 @@ commit; a table's state is the newest event of each key, so a change costs its o
 
 from __future__ import annotations
 
+import random
 import time
 import uuid
 from collections.abc import Callable
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultspark.functions import cdc, codecs, paths
-from vaultspark.functions.errors import AlreadyExists, Conflict, Corrupt, InvalidName, NotEncrypted, NotFound
+from vaultspark.functions.errors import AlreadyExists, Conflict, Corrupt, InvalidName, NotEncrypted, NotFound, WouldBlock
 from vaultspark.operators import relops
 from vaultspark.plans.log import CommitLog
 from vaultspark.sources import files as sources
@@ -35,7 +36,9 @@ SCHEMAS = {
     "shares": "id string, path string, token string, expires_at long, alive boolean, lsn long",
 }
 _KEYS = {"names": ["name"], "objects": ["object_id"], "versions": ["object_id", "version"], "manifests": ["manifest_id"], "snapshots": ["label"], "tracked_files": ["watch_root", "name"], "shares": ["id"]}
-RETRIES = 8
+RETRIES = 24
+#: Seconds for which data files that nothing refers to any more stay, for readers of an older state and writers under way.
+GRACE = 3600.0
 
 
 class Vault:
@@ -109,9 +112,13 @@ class Vault:
             actions = (removes() if removes else []) + [self._write(t, df) for t, df in tables.items()]
             try:
                 self.log.commit(pinned + 1, kind, actions, summary)
-                return summary
+                return summary | {"lsn": pinned + 1}
             except Conflict:
-                time.sleep(0.05 * (attempt + 1))
+                # What was written for a commit that did not come about.
+                for a in actions:
+                    if a["op"] == "add":
+                        self._drop(a["path"])
+                time.sleep(random.uniform(0, 0.05 * (attempt + 1)))
         raise Conflict(f"{kind}: other writers were faster {RETRIES} times")
 
     # Writing.
@@ -125,20 +132,69 @@ class Vault:
         if "seq" not in files.columns:
             files = files.withColumn("seq", F.lit(0).cast("long"))
         files = files.select(F.trim("name").alias("name"), F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
+        self._check_names(files)
+        keyed = files.withColumn("manifest_id", F.sha2("content", 256))
+        cut = cdc.chunk(keyed, ["name", "seq", "manifest_id"], "content", *self.sizes)
+        facts = keyed.select("name", "seq", "manifest_id", F.octet_length("content").cast("long").alias("size_bytes"))
+        return self._store(cut, facts)
+
+    def put_paths(self, files: DataFrame) -> DataFrame:
+        """As :meth:`put`, for (name, path and optionally seq): files are read in blocks and never held whole.
+
+        Paths are local ones or URIs that every executor can open. A file whose size or time changes while it is
+        read is read again, three times at most; then nothing is stored and :class:`WouldBlock` names it.
+        """
+        if "seq" not in files.columns:
+            files = files.withColumn("seq", F.lit(0).cast("long"))
+        files = files.select(F.trim("name").alias("name"), F.col("seq").cast("long").alias("seq"), "path")
+        self._check_names(files)
+        rows = sources.chunk_paths(files, self.sizes)
+        staging = f"data/_staging/{uuid.uuid4().hex}"
+        try:
+            rows.withColumn("data", self._sealed("data")).write.parquet(f"{self.root}/{staging}")
+            read = self.spark.read.parquet(f"{self.root}/{staging}")
+            moving = read.where("ordinal = -1 and attempt = 0").select("name").limit(3).collect()
+            if moving:
+                raise WouldBlock(", ".join(r.name for r in moving))
+            facts = read.where("ordinal = -1").select("name", "seq", "attempt", F.col("chunk_id").alias("manifest_id"), F.col("start_offset").alias("size_bytes"))
+            cut = read.where("ordinal >= 0").join(facts.select("name", "seq", "attempt", "manifest_id"), ["name", "seq", "attempt"])
+            return self._commit_put(cut.drop("attempt"), facts.drop("attempt"))
+        finally:
+            self._drop(staging)
+
+    def _check_names(self, files: DataFrame) -> None:
         bad = files.select("name", paths.name_error("name").alias("why")).where("why is not null").limit(3).collect()
         if bad:
             raise InvalidName("; ".join(f"{r.name!r}: {r.why}" for r in bad))
-        # Files are read once: their facts and their chunks are staged, and all that follows reads these.
-        staging = f"{self.root}/data/_staging/{uuid.uuid4().hex}"
-        cut = cdc.chunk(files.withColumn("manifest_id", F.sha2("content", 256)), ["name", "seq", "manifest_id"], "content", *self.sizes)
-        cut.write.parquet(f"{staging}/chunks")
-        facts = files.select("name", "seq", F.sha2("content", 256).alias("manifest_id"), F.octet_length("content").cast("long").alias("size_bytes"))
-        facts.write.parquet(f"{staging}/files")
-        cut, facts = self.spark.read.parquet(f"{staging}/chunks"), self.spark.read.parquet(f"{staging}/files")
+
+    def _store(self, cut: DataFrame, facts: DataFrame) -> DataFrame:
+        """Files are read once: their facts and their chunks are staged (encrypted, where the vault is), and all that follows reads these."""
+        staging = f"data/_staging/{uuid.uuid4().hex}"
+        try:
+            cut.withColumn("data", self._sealed("data")).write.parquet(f"{self.root}/{staging}/chunks")
+            facts.write.parquet(f"{self.root}/{staging}/files")
+            return self._commit_put(*(self.spark.read.parquet(f"{self.root}/{staging}/{t}") for t in ("chunks", "files")))
+        finally:
+            self._drop(staging)
+
+    def _drop(self, path: str) -> None:
+        """Delete a folder of the vault that no commit refers to."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _sealed(self, data: str) -> Column:
+        """Chunk data for a staged table."""
+        return codecs.encrypt(F.col(data), F.lit(self._key), F.lit(b"staged").cast("binary")) if self._key else F.col(data)
+
+    def _commit_put(self, cut: DataFrame, facts: DataFrame) -> DataFrame:
+        if self._key:
+            opened = codecs.decrypt(F.col("data"), F.lit(self._key), F.lit(b"staged").cast("binary"))
+        else:
+            opened = F.col("data")
 
         def build(pinned: int, lsn: int) -> tuple[dict, dict]:
             now = F.current_timestamp()
-            new = relops.new_chunks(cut.select("chunk_id", "data", "raw_len"), self.events("chunks", pinned))
+            new = relops.new_chunks(cut.select("chunk_id", "data", "raw_len"), self.events("chunks", pinned)).withColumn("data", opened)
             bound = facts.join(self.names(pinned), "name", "left")
             made = F.substr(F.sha2(F.concat_ws("/", F.lit(f"{self.root}#{lsn}"), "name"), 256), F.lit(1), F.lit(32))
             bound = bound.withColumn("object_id", F.coalesce("object_id", made))
@@ -155,11 +211,16 @@ class Vault:
                 "names": numbered.select("name", "object_id").distinct().withColumn("lsn", F.lit(lsn)),
             }, {"op": "put"}
 
-        before = self.events("chunks").select("chunk_id")
-        summary = relops.put_summary(cut.select("name", "seq", "ordinal", "chunk_id", "raw_len"), before, "name", ["name", "seq", "ordinal"])
-        self._change("put", build)
-        latest = relops.latest(self.versions_table()).join(self.names(), "object_id")
-        return facts.select("name").distinct().join(latest, "name").join(summary, "name", "left").select("name", "version", "manifest_id", "size_bytes", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunk_count", "new_chunks", "dedup_chunks")])
+        return self._put_result(self._change("put", build)["lsn"])
+
+    def _put_result(self, lsn: int) -> DataFrame:
+        """What commit ``lsn`` stored, from its own files and the chunks that were there before it."""
+        made = self.events("names", lsn).where(F.col("lsn") == lsn).select("name", "object_id")
+        versions = self.events("versions", lsn).where(F.col("lsn") == lsn).join(made, "object_id").select("name", "object_id", "version", "manifest_id", "size_bytes")
+        refs = versions.select("name", "version", "manifest_id").join(self.events("manifest_chunks", lsn), "manifest_id")
+        summary = relops.put_summary(refs.select("name", "version", "ordinal", "chunk_id", "raw_len"), self.events("chunks", lsn - 1).select("chunk_id"), "name", ["name", "version", "ordinal"])
+        newest = relops.latest(versions, "name")
+        return newest.join(summary, "name", "left").select("name", "version", "manifest_id", "size_bytes", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunk_count", "new_chunks", "dedup_chunks")])
 
     def _encoded(self, chunks: DataFrame) -> DataFrame:
         e = chunks.withColumn("e", codecs.encode_chunk(F.col("data"))).select("chunk_id", "raw_len", F.col("e.codec").alias("codec"), F.col("e.payload").alias("payload"))
@@ -360,12 +421,21 @@ class Vault:
 
         return self._change("delete_snapshot", build)["n"] > 0
 
+    def export(self, files: DataFrame, folder: str) -> DataFrame:
+        """Write (name, manifest_id) below ``folder`` chunk by chunk; gives (name, bytes).
+
+        No file is held whole. A file gets its name after its chunks and its whole were verified; a fault leaves none.
+        """
+        wanted = files.select("name", "manifest_id").distinct()
+        refs = self.events("manifest_chunks").join(wanted, "manifest_id", "right").select("name", "manifest_id", "ordinal", "chunk_id")
+        parts = refs.join(self.decoded(self.events("chunks")).select("chunk_id", "data", "hash_ok"), "chunk_id", "left")
+        return sources.write_chunks(parts, folder)
+
     def restore(self, label: str, folder: str) -> int:
-        """Write a snapshot's files below ``folder``; gives how many. Contents are verified before a byte is written."""
-        entries = self.snapshot_entries(label)
+        """Write a snapshot's files below ``folder``; gives how many."""
         if not self.state("snapshots").where(F.col("label") == label.strip()).count():
             raise NotFound(label)
-        return sources.extract(entries.join(self.contents(entries), "manifest_id").select("name", "content"), folder).count()
+        return self.export(self.snapshot_entries(label), folder).count()
 
     def ingest(self, files: DataFrame, label: str | None = None) -> dict:
         """Store files and, with a label, freeze the result; gives totals."""
@@ -376,8 +446,42 @@ class Vault:
 
     # Garbage, checks, totals.
 
-    def gc(self) -> dict:
-        """Drop manifests and chunks that no object and no snapshot needs; only files with dead chunks are rewritten."""
+    def gc(self, grace: float = GRACE) -> dict:
+        """Drop manifests and chunks that no object and no snapshot needs, and delete files that nothing has referred to for ``grace`` seconds.
+
+        Only files with dead chunks are rewritten.
+        """
+        stats = self._sweep()
+        return stats | self.vacuum(grace)
+
+    def vacuum(self, grace: float = GRACE) -> dict:
+        """Delete data folders that no commit of the last ``grace`` seconds refers to: what was swept, what a writer left behind, stale staging."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        data = jvm.org.apache.hadoop.fs.Path(f"{self.root}/data")
+        fs = data.getFileSystem(conf)
+        if not fs.exists(data):
+            return {"folders_deleted": 0, "bytes_deleted": 0}
+        # Listed before the log is read: what a writer adds meanwhile is not in the list.
+        found = [f for t in fs.listStatus(data) if t.isDirectory() for f in fs.listStatus(t.getPath())]
+        cut = time.time() - grace
+        keep = {p for files in self.log.files().values() for p in files}
+        known: set[str] = set()
+        for commit in self.log.commits():
+            for a in commit["actions"]:
+                known.add(a["path"])
+                if a["op"] == "remove" and commit.get("at", 0) > cut:
+                    keep.add(a["path"])
+        folders = size = 0
+        for f in found:
+            path = "data/" + "/".join(str(f.getPath().toUri().getPath()).rsplit("/", 2)[1:])
+            if path in keep or (path not in known and f.getModificationTime() / 1000 > cut):
+                continue
+            size += fs.getContentSummary(f.getPath()).getLength()
+            fs.delete(f.getPath(), True)
+            folders += 1
+        return {"folders_deleted": folders, "bytes_deleted": size}
+
+    def _sweep(self) -> dict:
         pinned = self.log.last()
         versions, entries = self.versions_table(pinned), self._entries(pinned)
         live = relops.live_manifests(versions, entries)
@@ -408,15 +512,22 @@ class Vault:
 
     def fsck(self) -> dict:
         """Verify every stored chunk and every reference; missing and corrupt count once for each reference."""
+        # The store is decoded once: references are counted by chunk first.
         checked = self.decoded(self.events("chunks")).select("chunk_id", "crc_ok", "hash_ok")
-        refs = self.events("manifest_chunks")
-        seen = refs.join(checked.select("chunk_id", "hash_ok"), "chunk_id", "left")
-        r = seen.agg(F.count_if(F.col("hash_ok").isNull()).alias("missing"), F.count_if(~F.col("hash_ok")).alias("corrupt_refs")).first()
-        c = checked.agg(F.count("*").alias("chunks"), F.count_if(~F.col("hash_ok")).alias("corrupt"), F.count_if(~F.col("crc_ok")).alias("bad_crc")).first()
+        refs = self.events("manifest_chunks").groupBy("chunk_id").agg(F.count("*").alias("refs"))
+        n, stored = F.coalesce("refs", F.lit(0)), F.col("hash_ok").isNotNull()
+        c = (
+            checked.join(refs, "chunk_id", "full")
+            .agg(
+                F.count_if(stored).alias("chunks"), F.count_if(~F.col("hash_ok")).alias("corrupt"), F.count_if(~F.col("crc_ok")).alias("bad_crc"),
+                F.coalesce(F.sum(F.when(~stored, n)), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.when(~F.col("hash_ok"), n)), F.lit(0)).alias("corrupt_refs"),
+            )
+            .first()
+        )
         manifests = self.state("manifests")
         dangling = {t: relops.missing(df, manifests, "manifest_id").count() for t, df in (("versions", self.versions_table()), ("snapshot_entries", self._entries()))}
-        out = {"chunks_checked": c.chunks, "corrupt_chunks": c.corrupt, "bad_crc": c.bad_crc, "missing_chunks": r.missing, "corrupt_references": r.corrupt_refs, "objects_checked": self.state("objects").count(), "manifests_checked": manifests.count(), "dangling": dangling}
-        out["healthy"] = not (c.corrupt or r.missing or r.corrupt_refs or any(dangling.values()))
+        out = {"chunks_checked": c.chunks, "corrupt_chunks": c.corrupt, "bad_crc": c.bad_crc, "missing_chunks": c.missing, "corrupt_references": c.corrupt_refs, "objects_checked": self.state("objects").count(), "manifests_checked": manifests.count(), "dangling": dangling}
+        out["healthy"] = not (c.corrupt or c.missing or c.corrupt_refs or any(dangling.values()))
         return out
 
     def stats(self) -> dict:
