@@ -2,36 +2,57 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Staged tables of this driver process, by tag.
 _staged: dict[str, list[str]] = {}
-_tag = "llm"
+_lock = threading.Lock()
+_local = threading.local()
 
 
 @contextmanager
 def tagged(tag: str):
-    """What is staged inside carries ``tag``, so that it can be released apart from the rest."""
-    global _tag
-    before, _tag = _tag, tag
+    """What this thread stages inside carries ``tag``, so that it can be released apart from the rest."""
+    before = getattr(_local, "tag", "llm")
+    _local.tag = tag
     try:
         yield
     finally:
-        _tag = before
+        _local.tag = before
+
+
+def _remember(path: str) -> None:
+    with _lock:
+        _staged.setdefault(getattr(_local, "tag", "llm"), []).append(path)
+
+
+def trim() -> None:
+    """Give what a worker has freed back to the system, at the end of a task that held large arrays: workers are reused."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (as
-    in tests on one machine) a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset a temporary folder is made and set, but only if the
+    session runs on this machine alone: on a cluster executors would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master})")
         root = "file://" + tempfile.mkdtemp(prefix="vaultspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -42,7 +63,7 @@ def shared_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, remembered for :func:`release`."""
     path = f"{shared_root(spark)}/vaultspark/{name}-{uuid.uuid4().hex}"
-    _staged.setdefault(_tag, []).append(path)
+    _remember(path)
     return path
 
 
@@ -59,16 +80,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for slim tables only."""
+    """A reliable checkpoint, for slim tables only; :func:`release` deletes it too."""
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    at = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if at.isDefined():
+        _remember(at.get())
+    return out
 
 
 def release(spark: SparkSession, tag: str = "llm") -> None:
     """Delete the tables staged under ``tag``; their readers must be done."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _staged.pop(tag, []):
+    with _lock:
+        paths = _staged.pop(tag, [])
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 

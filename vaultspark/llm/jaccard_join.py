@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stage, table
-from .components import Forest, components
+from .common import checkpointed, stage, table, trim
+from .components import Forest, components, stars
 from .shingles import chunks, mix, shingle_sets, text_bytes
 
 #: Of 100: what intersection and union must have.
@@ -126,6 +126,7 @@ def _deal(buckets: int):
                 out += [(k, number, 1, low[a:b].tobytes(), who[a:b].tobytes()) for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)) if b > a]
                 number += 1
                 yield _rows(out)
+        trim()
 
     return run
 
@@ -170,6 +171,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((0, r[1], 1, (got[a:b] & 0xFFFF).astype(np.uint16).tobytes(), times[a:b].astype(np.int32).tobytes()))
         if out:
             yield _rows(out)
+    trim()
 
 
 _TOLD = "doc_id long, text_hash long, node long, check long, n int, candidate boolean"
@@ -210,6 +212,7 @@ def _deal_sets(buckets: int):
                 out += [(k, number, 1, low[a:b].tobytes(), times[a:b].tobytes()) for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)) if b > a]
                 number += 1
                 yield _rows(out)
+        trim()
 
     return run
 
@@ -235,6 +238,7 @@ def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += k
         if out:
             yield _rows(out)
+    trim()
 
 
 _SETS = "node long, n int, shingles binary, prefix binary"
@@ -381,7 +385,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = [r[3] for r in rows]
         links = spanning_links([np.frombuffer(r[5], dtype=np.uint64) for r in rows], np.array([r[4] for r in rows], dtype=np.int64))
         if links:
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[k[i]] for k in links], pa.int64()) for i in range(2)], ["a", "b"])
+            forest = Forest()
+            for i, j in links:
+                forest.join(nodes[i], nodes[j])
+            yield stars(forest, nodes)
+    trim()
 
 
 def candidate_links(sets: DataFrame) -> DataFrame:
@@ -420,7 +428,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "shingles")
     cut = cut.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-    found = components(cut.mapInArrow(_verify, "a long, b long"))
+    # Links come as stars already, and a second Python operator in the stage would double its workers.
+    found = components(cut.mapInArrow(_verify, "a long, b long"), contract=False)
 
     firsts = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -1,29 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled rows: one of ordinary text
-and one of toxic text. Both hold the same 48 KiB of ordinary windows, so that common
-language costs the same with either; the toxic one ends in the segments that
-toxic documents hold significantly more often (likelihood ratio over document
-counts), the other one in as many bytes that never occur. Each whole text, lower-cased, is cut
-at spaces into windows of 96 bytes, twice with different phases; every window is compressed with both
+Two zstandard dictionaries are trained, by the library's trainer, from labelled rows:
+
+* the ordinary one from the windows of ordinary rows;
+* the toxic one from the text of toxic rows that ordinary language leaves over: a word stays where its rate among
+  toxic rows is more than ``RATE`` times that among ordinary ones and at least ``LEAST`` toxic rows have it. It
+  follows the ordinary dictionary's bytes, so that common language costs the same with either; the ordinary one has as many blank bytes.
+
+Each whole text, lower-cased, is cut at spaces into windows of 96 bytes, twice with different phases; every window is compressed with both
 dictionaries, and what the toxic one saves is its gain. A document's largest gains and
 their counts go through a logistic calibration, shifted so that the threshold
-with the best F1 on the training rows lies at 0.7.
+with the best F1 on the training rows lies at 0.7. The gains that calibrate come from dictionaries trained
+without the row: training rows are dealt to ``FOLDS`` folds for it.
 
 Bounds of training: at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` labelled rows,
-those with the smallest hash of doc_id, none longer than ``MAX_CHARS``. Rows whose
+those with the smallest hash of doc_id, of which those with more than ``MAX_CHARS`` characters are left out; the dictionaries
+have at most ``BASE`` and ``TAIL`` bytes. Rows whose
 ``crc32(doc_id as text) mod 3`` is 1 are held out and never used for training. Near
 copies among the training rows count once. Scores depend on the text alone.
 
-Defined cases: null and empty texts get a score (of no gain); null doc_ids are not held
-out; equal texts get equal scores; labels that contradict count as toxic; without labels of both
-kinds every score is 0; extra columns are ignored.
+Defined cases: null and empty texts get a score (of no gain), texts of any length are scored whole; null doc_ids are not held
+out; equal texts get equal scores; labels that contradict count as toxic; of rows that share a labelled doc_id the least text trains;
+without labels of both kinds every score is 0; extra columns are kept, one that has the score's name is replaced.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,15 +38,14 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trim
 
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2500, 4000, 32_768
-WINDOW, BASE = 96, 48 << 10
+#: Bytes of a window, of the ordinary dictionary and of the toxic one behind it.
+WINDOW, BASE, TAIL = 96, 48 << 10, 2 << 10
 THRESHOLD = 0.7
-#: Least likelihood ratio of a segment, its least rate against ordinary text, and the lengths looked at.
-LEAST_G2, LEAST_RATE, LENGTHS = 24.0, 4.0, range(4, 13)
+RATE, LEAST, FOLDS = 4.0, 4, 2
 _EDGE = ".,;:!?\"'()[]"
-_WORD = re.compile(r"\S+")
 
 
 @dataclass
@@ -99,37 +101,35 @@ def _families(texts: list[str]) -> list[str]:
     return out
 
 
-def _segments(text: str) -> set[str]:
-    return {w[:k] for w in {x.strip(_EDGE) for x in _WORD.findall(text.lower())} for k in LENGTHS if len(w) >= k}
-
-
-def _g2(a: int, n: int, c: int, m: int) -> float:
-    rate = (a + c) / (n + m)
-    part = lambda x, y: x * math.log(x / y) if x else 0.0
-    return 2 * (part(a, n * rate) + part(n - a, n * (1 - rate)) + part(c, m * rate) + part(m - c, m * (1 - rate)))
+def _words(text: str) -> list[str]:
+    return [w for w in (x.strip(_EDGE) for x in text.lower().split()) if w]
 
 
-def telling_segments(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Word beginnings that tell toxic text, most frequent first, each as long as it can be without losing documents."""
+def left_over(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """What ordinary language leaves over of each toxic text."""
     ours, theirs = Counter(), Counter()
     for x in toxic:
-        ours.update(_segments(x))
-    ours = Counter({s: a for s, a in ours.items() if a >= 4})
+        ours.update(set(_words(x)))
     for x in ordinary:
-        theirs.update(s for s in _segments(x) if s in ours)
-    n, m = len(toxic), len(ordinary)
-    telling = {s for s, a in ours.items() if a >= 4 and a * m > LEAST_RATE * theirs[s] * n and _g2(a, n, theirs[s], m) >= LEAST_G2}
-    longer: dict[str, list[str]] = {}
-    for s in telling:
-        longer.setdefault(s[:-1], []).append(s)
-    out = set()
-    for s in telling:
-        if s[:-1] in telling:
-            continue
-        while (best := max(longer.get(s, ()), key=lambda x: (ours[x], x), default=None)) and ours[best] >= 0.9 * ours[s]:
-            s = best
-        out.add(s)
-    return sorted(out, key=lambda s: (-ours[s], s))[:2000]
+        theirs.update(w for w in set(_words(x)) if w in ours)
+    telling = {w for w, a in ours.items() if a >= LEAST and a * len(ordinary) > RATE * (theirs[w] + 0.5) * len(toxic)}
+    out = [" ".join(["", *(w for w in _words(x) if w in telling)]).encode() for x in toxic]
+    return [x for x in out if x]
+
+
+def _dictionary(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """A trained dictionary; of samples that are too few to train one, their end."""
+    try:
+        return zstd.train_dictionary(size, samples, k=k, d=d, level=6).as_bytes()
+    except zstd.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary, of one size."""
+    base = _dictionary([w for x in ordinary for w in windows(x.lower().encode())], BASE, 64, 8)
+    tail = _dictionary(left_over(toxic, ordinary), TAIL, 24, 8) or b"\x01"
+    return base + bytes([1]) * len(tail), base + tail
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,14 +156,16 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
     if not toxic or not ordinary:
         return None
     once, others = _families(toxic), _families(ordinary)
-    telling = telling_segments(once, others)
-    tail = b"".join((" " + s).encode() for s in reversed(telling))
-    pieces = sorted({w for x in others for w in list(windows(x.lower().encode()))[::8]}, key=zlib.crc32)
-    base = b"".join(pieces)[:BASE]
-    model = Model(base + bytes([1]) * max(1, len(tail)), base + (tail or b"\x01"), [], [], [])
-    gains = Gains(model)
-    x = np.array([gains(t) for t in [*once, *others]])
-    y = np.array([1.0] * len(once) + [0.0] * len(others))
+    x, y = [], []
+    for fold in range(FOLDS):
+        # A kind with a single text has no other one to train from.
+        rest = [[t for i, t in enumerate(texts) if i % FOLDS != fold] or texts for texts in (once, others)]
+        gains = Gains(Model(*dictionaries(*rest), [], [], []))
+        for kind, texts in ((1.0, once), (0.0, others)):
+            x += [gains(t) for t in texts[fold::FOLDS]]
+            y += [kind] * len(texts[fold::FOLDS])
+    model = Model(*dictionaries(once, others), [], [], [])
+    x, y = np.array(x), np.array(y)
     model.mean, model.scale, model.weight = (v.tolist() for v in _fit(x, y))
     return model
 
@@ -175,7 +177,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[s
     chosen = [known.where(f"toxic {op} 0").orderBy(order, "doc_id").limit(n) for op, n in (("<>", MAX_TOXIC), ("=", MAX_ORDINARY))]
     ids = chosen[0].unionByName(chosen[1])
     # The ids are at most MAX_TOXIC + MAX_ORDINARY, so they may be broadcast, and the texts collected.
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, MAX_CHARS)).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
+    rows = docs.select("doc_id", "text").where(F.length("text").between(1, MAX_CHARS)).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return [r.text for r in rows if r.toxic], [r.text for r in rows if not r.toxic]
 
@@ -184,7 +186,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _scorer(model: Model | None):
+def _scorer(model: Model | None, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = Gains(model) if model else None
         for batch in batches:
@@ -195,17 +197,18 @@ def _scorer(model: Model | None):
             else:
                 x = np.array([gains(t.as_py()) for t in batch.column(batch.num_columns - 1)])
                 s = 1 / (1 + np.exp(-np.clip((x - np.array(model.mean)) / np.array(model.scale) @ np.array(model.weight), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, name])
+        trim()
 
     return score
 
 
-def score_texts(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, model: Model | None, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with ``score`` double; its text column moves to the end."""
-    df = docs.drop("score")
+    df = docs.drop(score)
     df = df.select(*[c for c in df.columns if c != text], text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", score double"
-    return df.mapInArrow(_scorer(model), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{score}` double"
+    return df.mapInArrow(_scorer(model, score), schema)
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> Model | None:
