@@ -158,3 +158,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = told.unionByName(planted).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
     made = format_conversations(events).select("conv_id", "formatted", "loss_spans")
     return made.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e as (
+  select *, [regexp_replace(regexp_replace(x, '<(\\*(?:s>|/s>|<SYS>>|</SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|nl\|>))', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g') for x in [role, text]] as x
+  from t
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length('<|im_start|>') + length(replace(x[1], chr(10), '<|nl|>')) + 1 + length(x[2]) + length('<|im_end|>') + 1)::bigint as formatted_chars
+from e group by conv_id
+"""

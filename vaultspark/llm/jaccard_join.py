@@ -444,3 +444,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)])) end as s
+  from w
+), k as (select sha256(array_to_string(s, chr(10))) as k, min(doc_id) as c, any_value(s) as s, len(any_value(s)) as n from s where len(s) > 0 group by 1),
+u as (select c, n, unnest(s) as x from k),
+l as (
+  select a.c as a, b.c as b from u a join u b on a.x = b.x and a.c <> b.c
+  group by a.c, b.c, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), r(a, b) as (select c, c from k union select r.a, l.b from r join l on l.a = r.b),
+m as (select a as c, min(b) as component_id from r group by a)
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(m.component_id, s.doc_id) as component_id
+from s left join k on len(s.s) > 0 and k.k = sha256(array_to_string(s.s, chr(10))) left join m on m.c = k.c
+"""

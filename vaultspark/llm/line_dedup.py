@@ -15,7 +15,7 @@ lines only never counts; rows that share doc_id and text are one document and
 get one result; null doc_ids come first; inside one document a later occurrence that
 overlaps the window's first occurrence leaves the first one's lines in place;
 a document that loses every line has an empty text and ``n_removed`` equal to
-``n_lines``; extra columns stay as they are.
+``n_lines``; texts of any length are cut whole; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -53,15 +53,17 @@ def covered_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return spans.select("doc_id", "sig", F.explode(F.sequence("lo", "hi")).alias("p")).groupBy("doc_id", "sig").agg(F.collect_set("p").alias("covered"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` cut, and ``n_lines``, ``n_removed`` (int)."""
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """``docs`` with ``text`` cut, and ``n_lines``, ``n_removed`` (int) under the names given; columns that have these names are replaced."""
     own, doc, sig, cut = unused(docs, "own_hash", "cut_doc", "cut_sig", "cut_lines")
     covered = covered_lines(docs, doc_id, text).select(F.col("doc_id").alias(doc), F.col("sig").alias(sig), F.col("covered").alias(cut))
     joined = docs.withColumn(own, F.xxhash64(text)).join(covered, F.col(doc_id).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(sig)), "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(cut, i)), "\n")
-    n_lines = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(lines))
-    out = joined.withColumns({"n_lines": n_lines, "n_removed": F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut))})
+    # The lines are bound once, and positions are told apart by a hash set: linear in a document's lines.
+    left = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), cut)
+    kept = F.get(F.transform(F.array(lines), lambda ls: F.array_join(F.transform(left(ls), lambda i: F.get(ls, i)), "\n")), 0)
+    total = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(lines))
+    out = joined.withColumns({n_lines: total, n_removed: F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut))})
     return out.withColumn(text, F.when(F.col(cut).isNull(), F.col(text)).otherwise(kept)).drop(own, doc, sig, cut)
 
 

@@ -25,6 +25,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_jaccard_join": jaccard_join.SQL,
         "op3_line_dedup": line_dedup.SQL,
         "op5_url_filter": url_filter.SQL,
+        "op7_chat_format": chat_format.SQL,
+        "op8_warc": warc.SQL,
     }

@@ -16,7 +16,7 @@ The matrix has one row of 2 x shards numbers for each source partition. It is
 joined, without a hint, as a table: Spark broadcasts it only below
 ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
 
-Defined cases: equal or repeated rows, null keys and null texts are rows like any
+Defined cases: equal or repeated rows, null keys, null and very long texts are rows like any
 others, each with a slot of its own; an empty table gives no rows; more shards
 than rows leave shards empty; a column of the input named ``shard`` or ``slot`` is replaced.
 """
@@ -112,7 +112,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = SEED) -> DataFra
         raise ValueError("shards must be 1 or more")
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    row_id, p_, n_, ends_, start_, rank_ = unused(df, "row_id", "source", "source_rows", "ends", "starts", "source_rank")
+    row_id, p_, n_, ends_, start_, rank_, block_ = unused(df, "row_id", "source", "source_rows", "ends", "starts", "source_rank", "slot_block")
     rows = stage(df.withColumn(row_id, F.monotonically_increasing_id()), "shard-source")
     part = F.shiftright(row_id, _PART_BITS).cast("int")
     counts = dict(rows.groupBy(part.alias("p")).count().collect())  # one row for each source partition
@@ -135,8 +135,9 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = SEED) -> DataFra
     size_of = F.when(F.col("shard") < int(sizes.sum() % shards), F.lit(int(sizes.sum() // shards) + 1)).otherwise(F.lit(int(sizes.sum() // shards)))
     dealt = dealt.withColumn("slot", place(arrival, size_of.cast("long"), (F.col("shard") + (1 << 31)).cast("long")))
     dealt = dealt.drop(p_, n_, ends_, start_, rank_, row_id)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(n, "shard", F.floor(F.col("slot") / BLOCK)).sortWithinPartitions("shard", "slot")
+    # Dealt by shard and slot block into partitions of the advisory size, whatever the data's: adaptive execution splits and joins them.
+    dealt = dealt.withColumn(block_, F.floor(F.col("slot") / BLOCK)).hint("rebalance", F.col("shard"), F.col(block_))
+    return dealt.sortWithinPartitions("shard", "slot").drop(block_)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
