@@ -10,6 +10,11 @@ next one starts, as the stage's result has been written by then.
 * jaccard_join: of each group of near duplicates the document with the smallest doc_id stays.
 * decontamination: documents that hold a benchmark item go.
 * packing: pieces of at most 1024 tokens, packed into sequences.
+
+Defined cases, for every stage: columns beside those of documents are carried, whatever their names; null and empty texts are
+kept (no gain, no lines, no shingles, no items; packed as an end id alone); rows that repeat doc_id and text are scored, cut and packed alike,
+and are one document to the near-duplicate stage; null doc_ids are documents like any others; texts of any length are whole; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -37,20 +42,22 @@ def _stage(f):
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score accepts."""
     model = toxicity.train(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score_texts(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    (score,) = unused(docs, "score")
+    return toxicity.score_texts(docs, model, score=score).where(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 @_stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines."""
-    out = line_dedup.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    lines, removed = unused(docs, "n_lines", "n_removed")
+    out = line_dedup.dedup_lines(docs, n_lines=lines, n_removed=removed).where((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 @_stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; rows that repeat doc_id and text are one."""
-    groups = jaccard_join.jaccard_components(docs)
+    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
     own, text = unused(docs, "first_id", "text_hash")
     first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
