@@ -443,3 +443,87 @@ def test_ids_where_the_fast_way_is_not_known_to_agree(tmp_path):
         assert (e.fast is not None) == fast
         for text in ("the then there", "a <|endoftext|> b", "x" + " " * 30_000 + "y", "日本 語 é"):
             assert e.encode([text]) == [np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]
+
+
+def test_line_dedup_of_a_document_that_loses_many_lines(spark):
+    """Time grows with the lines, not with lines times removed lines."""
+    import time
+
+    took = {}
+    for n in (2_000, 40_000):
+        lines = [f"line {i}" for i in range(n)]
+        df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines, "own"])), (3, "\n".join(["a", *lines[5:], "b"]))], "doc_id long, text string")
+        start = time.time()
+        got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+        took[n] = time.time() - start
+        assert got[1].n_removed == 0 and (got[2].text, got[2].n_removed) == ("own", n) and (got[3].text, got[3].n_removed) == ("a\nb", n - 5)
+    assert took[40_000] < 20 * took[2_000] + 2
+
+
+def test_pipeline_stages_with_odd_rows_and_clashing_columns(spark, docs, none, tmp_path):
+    import corpus_pipeline as cp
+
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 0), (7, 0), (5, 1)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "an item that no row holds at all in any place")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    odd = docs.withColumns({"n_chars": F.length("text").cast("long"), "n_lines": F.lit(42), "score": F.lit(7.5), "first_id": F.lit("f"), "text_hash": F.lit("h")})
+    n, before = {}, odd
+    for name, f in cp.STAGES[:-1]:
+        out = f(spark, before, sf)
+        assert out.columns == odd.columns
+        rows = out.collect()
+        n[name] = len(rows)
+        assert {(r.n_lines, r.score, r.first_id, r.text_hash, r.slot) for r in rows} <= {(42, 7.5, "f", "h", "slot")}
+        assert f(spark, before.where("false"), sf).count() == 0
+        before = spark.createDataFrame(rows, out.schema)
+    kept = sorted(str(r.doc_id) for r in before.collect())
+    assert n["toxicity"] in (len(ROWS), len(ROWS) - 1) and {"2", "3", "None"} <= set(kept) and kept.count("7") == 1
+    packed = cp.STAGES[-1][1](spark, before, sf).collect()
+    assert sorted({str(r.doc_id) for r in packed}) == sorted(set(kept)) and cp.STAGES[-1][1](spark, none, sf).count() == 0
+
+
+def test_shared_root_needs_a_shared_folder_on_a_cluster():
+    from vaultspark.llm import common
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError):
+        common.shared_root(Session())
+
+
+def test_toxicity_scores_by_a_plain_version(spark):
+    """Scores recomputed window by window: two compressors, sorted gains, a logistic function."""
+    import math
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aeiourstln", k=5)) for _ in range(200)]
+    clean = [" ".join(rng.choices(words, k=100)) for _ in range(60)]
+    toxic = [" ".join([*rng.choices(words, k=50), "snarkwort", *rng.choices(words, k=50)]) for _ in range(30)]
+    m = toxicity.train(toxic, clean)
+    assert b"snarkwort" in m.toxic and b"snarkwort" not in m.ordinary and len(m.toxic) == len(m.ordinary)
+    texts = [*clean[:5], *toxic[:5], "x" * 5000, "Ünï " * 300, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_texts(df, m).collect()}
+    for i, text in enumerate(texts):
+        raw, gains = (text or "").lower().encode(), []
+        for first in (96, 48):
+            at = 0
+            while at < len(raw):
+                end = at + (first if at == 0 else 96)
+                if end < len(raw):
+                    spaces = [j for j in range(at + (end - at) // 2, end) if raw[j : j + 1] == b" "]
+                    end = spaces[-1] if spaces else end
+                gains.append(len(toxicity._compressor(m.ordinary).compress(raw[at:end])) - len(toxicity._compressor(m.toxic).compress(raw[at:end])))
+                at = end
+        top = sorted(gains, reverse=True) + [0] * 6
+        n = max(1, len(gains))
+        x = [1.0, *top[:4], top[5], sum(gains) / n, sum(g for g in gains if g >= 2) / n]
+        x += [math.log1p(v) for v in (*(sum(g >= k for g in gains) for k in (1, 2, 3, 5)), sum(g for g in gains if g >= 4), len(gains))]
+        z = sum((v - a) / s * w for v, a, s, w in zip(x, m.mean, m.scale, m.weight, strict=True))
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
