@@ -79,10 +79,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for slim tables only; :func:`release` deletes it too."""
-    shared_root(df.sparkSession)
-    out = df.checkpoint(eager=True)
+def checkpointed(df: DataFrame, share: int = 8) -> DataFrame:
+    """A reliable checkpoint, for slim tables only; :func:`release` deletes it too.
+
+    It has as many files as a ``share``-th of the shuffle partitions, as slim rows would make many small ones.
+    """
+    spark = df.sparkSession
+    shared_root(spark)
+    out = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)).checkpoint(eager=True)
     at = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
     if at.isDefined():
         _remember(at.get())

@@ -407,7 +407,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     dealt = own.mapInArrow(_deal(buckets), _PACKED).repartition("bucket").sortWithinPartitions("bucket", "batch", "kind")
     partial = dealt.mapInArrow(_shared, _PACKED).repartition("batch").select("batch", "bucket", "kind", "a", "b").sortWithinPartitions("batch", "kind")
-    told = checkpointed(partial.mapInArrow(_judge, _TOLD))
+    told = checkpointed(partial.mapInArrow(_judge, _TOLD), share=4)
 
     # Classes are told apart by both hashes; their numbers, which the steps below use, cannot meet.
     keys = ["node", "check", "n"]
