@@ -2,7 +2,7 @@
 
 import pytest
 
-from vaultspark.plans import catalogue
+from vaultspark.plans import catalogue, vault_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def test_others_have_rows(spark, name):
 
 def test_every_version_of_every_object_is_listed(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn").collect()
-    got = catalogue.QUERIES["list_versions_all"](spark, SF).collect()
+    got = catalogue.QUERIES["list_versions"](spark, SF).collect()
     assert sorted((r.object_id, r.version) for r in got) == sorted((t.conv_id, t.turn + 1) for t in turns)
 
 

@@ -271,6 +271,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert go("list") == 0 and [x.split("\t")[0] for x in capsys.readouterr().out.splitlines()] == ["b", "d/a.txt"]
     assert go("get", "b", str(tmp_path / "o")) == 0 and (tmp_path / "o").read_bytes() == A
     assert go("snapshot", "restore", "--label", "s", "--to", str(tmp_path / "r")) == 0 and (tmp_path / "r" / "d" / "a.txt").read_bytes() == A
+    assert go("watch", str(folder), "--once") == 0 and "phase='watching'" in capsys.readouterr().out
     assert go("rm", "b") == 0 and go("rm", "b") == 1 and go("get", "b", "x") == 1 and go("fsck") == 0
 
 
@@ -379,3 +380,18 @@ def test_a_file_that_never_rests_is_an_error(spark, vault, tmp_path, monkeypatch
 
     out = [r for b in rows([pa.RecordBatch.from_arrays([pa.array(["busy"]), pa.array([0]), pa.array([str(f)])], ["name", "seq", "path"])]) for r in b.to_pylist()]
     assert [r["attempt"] for r in out if r["ordinal"] == -1] == [0] and {r["attempt"] for r in out} == {0, 1, 2, 3}
+
+
+def test_read_ranges_and_delete_by_id(vault, spark):
+    put(vault, ("a", A), ("b", B), ("e", b""))
+    asked = [("a", 0, 10), ("a", 1000, 1500), ("a", 3990, 100), ("a", 9999, 5), ("b", 7, 0), ("e", 0, 5), ("none", 0, 5)]
+    got = {(r.name, r.offset, r.size): bytes(r.bytes) for r in vault.read_ranges(spark.createDataFrame(asked, "name string, offset long, size long")).collect()}
+    assert got == {(n, o, s): d[o : o + s] for n, o, s in asked if (d := {"a": A, "b": B, "e": b""}.get(n)) is not None}
+    m, o = vault.resolve("a"), vault.versions("a").first().object_id
+    with pytest.raises(Corrupt):
+        vault.delete_manifest(m)
+    assert vault.delete_object(o) and not vault.delete_object(o) and names(vault) == ["a", "b", "e"]
+    assert sorted(r.name for r in vault.list_files().collect()) == ["b", "e"]
+    assert vault.delete_manifest(m) and not vault.delete_manifest(m)
+    vault.gc(grace=0)
+    assert vault.fsck()["healthy"] and vault.get("b") == B

@@ -157,3 +157,85 @@ def test_actions_and_reconciliation(spark, tmp_path):
     assert [r.name for r in deletes.collect()] == ["c"]
     for kw in ({"complete": False}, {"complete": True, "renames_pending": True}, {"complete": True, "generation_changed": True}):
         assert watcher.reconcile(v, "r1", listing, **kw)[1].count() == 0
+
+
+def _service(spark, tmp_path, **more):
+    from vaultspark.plans.vault import Vault
+    from vaultspark.streaming.service import WatchService
+
+    folder = tmp_path / "watched"
+    (folder / "d").mkdir(parents=True)
+    (folder / "a.txt").write_bytes(b"one")
+    (folder / "d" / "b.txt").write_bytes(b"two")
+    (folder / "skip.log1").write_bytes(b"no")
+    vault = Vault.open(spark, str(tmp_path / "store"), sizes=(64, 256, 1024))
+    return folder, vault, WatchService(vault, str(folder), WatchConfig(debounce=0.2, cooldown=0.2, throttle_ms=0, **more), rules=lambda: ["*.log1"])
+
+
+def test_service_scans_counts_and_unbinds(spark, tmp_path):
+    folder, vault, service = _service(spark, tmp_path)
+    s = service.scan_once()
+    assert (s.phase, s.scanned_files, s.saved_files, s.removed_files, s.last_error) == ("watching", 2, 2, 0, None) and s.last_sync_at
+    (folder / "a.txt").write_bytes(b"eno")  # of the same size
+    (folder / "d" / "b.txt").unlink()
+    vault.put(spark.createDataFrame([("by hand", bytearray(b"x"))], "name string, content binary"))
+    s = service.scan_once()
+    assert (s.scanned_files, s.saved_files, s.removed_files) == (3, 3, 1)
+    assert vault.get("a.txt") == b"eno" and sorted(r.name for r in vault.names().collect()) == ["a.txt", "by hand"]
+    (folder / "a.txt").unlink()
+    folder.joinpath("d").rmdir()
+    folder.joinpath("skip.log1").unlink()
+    folder.rmdir()
+    s = service.scan_once()  # what cannot be listed deletes nothing
+    assert s.phase == "degraded" and s.last_error and s.removed_files == 1 and vault.names().count() == 2
+
+
+def test_service_runs_takes_events_and_retries(spark, tmp_path):
+    import time
+
+    from vaultspark.functions.errors import AlreadyExists, WouldBlock
+    from vaultspark.streaming.service import WatchService
+
+    folder, vault, service = _service(spark, tmp_path)
+
+    def until(what, seconds=60):
+        end = time.time() + seconds
+        while not what() and time.time() < end:
+            time.sleep(0.05)
+        assert what()
+
+    service.start()
+    try:
+        with pytest.raises(AlreadyExists):
+            service.scan_once()
+        until(lambda: service.status().saved_files == 2 and service.status().phase == "watching")
+        put, busy = vault.put_paths, [True]
+
+        def locked(files):
+            if busy[0]:
+                raise WouldBlock("a.txt is in use")
+            return put(files)
+
+        vault.put_paths = locked
+        (folder / "a.txt").write_bytes(b"later")
+        service.notify("modify", "a.txt")
+        until(lambda: service.status().phase == "degraded")
+        assert service.status().last_error == "a.txt is in use" and service.status().pending_files == 1
+        busy[0] = False
+        until(lambda: service.status().saved_files == 3 and service.status().phase == "watching")
+        assert vault.get("a.txt") == b"later" and service.status().last_error is None
+        (folder / "d").rename(folder / "e")
+        service.notify("rename_both", "d", "e")
+        until(lambda: "e/b.txt" in {r.name for r in vault.names().collect()})
+    finally:
+        service.stop()
+    assert service.status().phase == "stopped"
+    with pytest.raises(ValueError):
+        WatchService(vault, str(tmp_path))
+
+
+def test_asked_settings_have_lower_bounds():
+    for bad in ((0, 60, 0), (3, 0, 0), (61, 60, 0), (3, 60, 5001)):
+        with pytest.raises(ValueError):
+            WatchConfig.asked(*bad)
+    assert WatchConfig.asked(1, 1, 5000).debounce == 1

@@ -10,6 +10,7 @@ import argparse
 import os
 import sys
 import time
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from vaultspark.functions import scalars
 from vaultspark.functions.errors import VaultError
 from vaultspark.plans.vault import Vault
 from vaultspark.sources import files
+from vaultspark.streaming.service import WatchService
+from vaultspark.streaming.watcher import WatchConfig
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
     add("stats")
     add("gc")
     add("fsck")
+    add("watch", "folder", debounce={"type": int, "default": 3}, cooldown={"type": int, "default": 60}, throttle={"type": int, "default": 10}, once={"action": "store_true"})
     return p
 
 
@@ -72,8 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 def run(a: argparse.Namespace, v: Vault) -> int:
     now = F.lit(int(time.time()))
     if a.command == "put":
-        one = v.spark.read.format("binaryFile").load(a.path).select(F.lit(a.name or os.path.basename(a.path)).alias("name"), "content")
-        show(v.put(one))
+        show(v.put_paths(v.spark.createDataFrame([(a.name or os.path.basename(a.path), os.path.abspath(a.path))], "name string, path string")))
     elif a.command == "get":
         content = v.get(a.target, a.version)
         temp = f"{a.out}.part"
@@ -114,6 +117,21 @@ def run(a: argparse.Namespace, v: Vault) -> int:
         report = v.fsck()
         print(report)
         return 0 if report["healthy"] else 1
+    elif a.command == "watch":
+        # A running service is told of events by its caller; the command line scans, once or every minute.
+        config = WatchConfig.asked(a.debounce, a.cooldown, a.throttle)
+        v.save_watch_config(a.folder, a.debounce, a.cooldown, a.throttle)
+        service = WatchService(v, os.path.abspath(a.folder), replace(config, reconcile=60.0))
+        if a.once:
+            print(service.scan_once())
+        else:
+            service.start()
+            try:
+                while True:
+                    time.sleep(5)
+                    print(service.status())
+            except KeyboardInterrupt:
+                service.stop()
     return 0
 
 

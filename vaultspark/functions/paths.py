@@ -145,3 +145,15 @@ def ignored(path: Column | str, patterns: list[str] | None = None) -> Column:
     one = "|".join(r for p in (DEFAULT_IGNORES if patterns is None else patterns) if (r := glob_regex(p)))
     p = _col(path)
     return p.rlike(one) | F.exists(F.split(p, "/"), lambda c: c.rlike(one))
+
+
+def overlaps(a: Column | str, b: Column | str) -> Column:
+    """Whether two folders are the same or one lies in the other, compared by whole components."""
+    x, y = (F.concat(F.array_join(components(c), "/"), F.lit("/")) for c in (a, b))
+    return F.startswith(x, y) | F.startswith(y, x)
+
+
+def found(name: Column | str, asked: str) -> Column:
+    """Whether a name has what was asked for, in any case of letters; nothing asked finds all."""
+    n = F.col(name) if isinstance(name, str) else name
+    return F.contains(F.lower(n), F.lower(F.lit(asked.strip())))

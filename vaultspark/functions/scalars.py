@@ -102,8 +102,25 @@ def parse_range(header: Column | str, total: Column | str) -> Column:
 
 
 def percent_decode(text: Column | str) -> Column:
-    """Percent escapes taken back; ``+`` stays; null for malformed text."""
-    return F.try_url_decode(F.replace(_col(text), F.lit("+"), F.lit("%2B")))
+    """Percent escapes taken back; ``+`` stays. Of a malformed escape the percent sign stays and up to two characters after it go; bytes that are no UTF-8 become U+FFFD."""
+    whole = F.regexp_replace(_col(text), r"(?s)%(?![0-9A-Fa-f]{2}).{0,2}", "%25")
+    return F.try_url_decode(F.replace(whole, F.lit("+"), F.lit("%2B")))
+
+
+def checked_sum(*parts: Column | str) -> Column:
+    """The sum of sizes; an error where it does not fit 64 bits or a part is negative."""
+    out = F.lit(0).cast("long")
+    for p in parts:
+        out = F.try_add(out, F.when(_col(p) >= 0, _col(p).cast("long")))
+    return F.coalesce(out, F.raise_error(F.lit("payload size overflows")).cast("long"))
+
+
+def fits(*parts: Column | str) -> Column:
+    """Whether :func:`checked_sum` has a value."""
+    out = F.lit(0).cast("long")
+    for p in parts:
+        out = F.try_add(out, F.when(_col(p) >= 0, _col(p).cast("long")))
+    return out.isNotNull()
 
 
 def percent_encode(text: Column | str) -> Column:

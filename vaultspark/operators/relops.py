@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vaultspark.functions import paths
+from vaultspark.functions import paths, scalars
 
 # Versions.
 
@@ -27,9 +27,15 @@ def latest(versions: DataFrame, key: str = "object_id") -> DataFrame:
     return best.select(key, "v.*")
 
 
-def list_files(names: DataFrame, versions: DataFrame) -> DataFrame:
-    """Names with their latest version; a name without versions has version 0 and size 0, dangling names go."""
-    return names.join(latest(_unnamed(versions)), "object_id", "left").select("name", "object_id", F.coalesce("version", F.lit(0)).alias("latest_version"), F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), "manifest_id")
+def list_files(names: DataFrame, versions: DataFrame, objects: DataFrame | None = None) -> DataFrame:
+    """Names with their latest version. A name whose object is not there goes; an object without versions has version 0 and size 0.
+
+    ``objects`` (object_id) tells these apart; without it every object has versions.
+    """
+    if objects is not None:
+        names = names.join(objects.select("object_id").distinct(), "object_id", "left_semi")
+    joined = names.join(latest(_unnamed(versions)), "object_id", "inner" if objects is None else "left")
+    return joined.select("name", "object_id", F.coalesce("version", F.lit(0)).alias("latest_version"), F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), "manifest_id")
 
 
 def newest(versions: DataFrame, n: int, key: str = "object_id") -> DataFrame:
@@ -231,6 +237,42 @@ def readdir(files: DataFrame, folder: str) -> DataFrame:
     return inside.select(F.substring_index(rest, "/", 1).alias("name"), kind.alias("kind")).distinct()
 
 
+def readdir_page(files: DataFrame, folder: str, offset: int, limit: int) -> DataFrame:
+    """(position, name, kind) of a folder's entries after the first ``offset``: the folder, its parent, then all by name.
+
+    Only the page is ordered over the whole folder: a top-k, no window.
+    """
+    dots = files.sparkSession.createDataFrame([("", ".", "dir"), ("", "..", "dir")], "first string, name string, kind string")
+    every = dots.unionByName(readdir(files, folder).select(F.col("name").alias("first"), "name", "kind"))
+    page = every.orderBy("first", "name").limit(offset + limit).offset(offset)
+    at = F.row_number().over(W.orderBy("first", "name")) + offset
+    return page.select(at.alias("position"), "name", "kind")
+
+
+def propfind(files: DataFrame, folder: str, depth: int = 1) -> DataFrame:
+    """(href, xml): the WebDAV property entry of a folder and, with depth 1, of what is directly in it.
+
+    ``files`` has (path, kind, size, mtime in epoch seconds); a folder's mtime is the least below it.
+    """
+    base = "/" + folder.strip("/")
+    inside = files.where(F.startswith("path", F.lit(base.rstrip("/") + "/")))
+    rest = F.substr("path", F.lit(len(base.rstrip("/")) + 2))
+    name, is_dir = F.substring_index(rest, "/", 1), F.contains(rest, F.lit("/"))
+    kids = inside.select(name.alias("name"), is_dir.alias("is_dir"), F.when(~is_dir, F.col("size")).alias("size"), "mtime").groupBy("name", "is_dir").agg(F.max("size").alias("size"), F.min("mtime").alias("mtime"))
+    kids = kids.withColumn("href", F.concat(F.lit(base.rstrip("/") + "/"), "name", F.when(F.col("is_dir"), "/").otherwise("")))
+    own = inside.agg(F.min("mtime").alias("mtime"), F.count("*").alias("n")).where("n > 0")
+    own = own.select(F.lit(base.rsplit("/", 1)[-1]).alias("name"), F.lit(True).alias("is_dir"), F.lit(None).cast("long").alias("size"), "mtime", F.lit(base.rstrip("/") + "/").alias("href"))
+    rows = own.unionByName(kids) if depth else own
+    date = F.concat(F.lit("        <D:getlastmodified>"), scalars.http_date("mtime"), F.lit("</D:getlastmodified>\n"))
+    size = F.concat(F.lit("        <D:getcontentlength>"), F.coalesce(F.col("size"), F.lit(0)).cast("string"), F.lit("</D:getcontentlength>\n        <D:getcontenttype>application/octet-stream</D:getcontenttype>\n"))
+    kind = F.when(F.col("is_dir"), "        <D:resourcetype><D:collection/></D:resourcetype>\n").otherwise(F.concat(F.lit("        <D:resourcetype/>\n"), size))
+    xml = F.concat(
+        F.lit("  <D:response>\n    <D:href>"), scalars.xml_escape("href"), F.lit("</D:href>\n    <D:propstat>\n      <D:prop>\n        <D:displayname>"), scalars.xml_escape("name"), F.lit("</D:displayname>\n"),
+        kind, date, F.lit("      </D:prop>\n      <D:status>HTTP/1.1 200 OK</D:status>\n    </D:propstat>\n  </D:response>\n"),
+    )
+    return rows.select("href", xml.alias("xml"))
+
+
 def resolve_paths(requests: DataFrame, files: DataFrame) -> DataFrame:
     """(request, path, kind): paths taken lexically, symbolic links followed once."""
     wanted = requests.withColumn("path", F.concat(F.lit("/"), paths.normalize("request")))
@@ -273,6 +315,20 @@ def live_shares(shares: DataFrame, now: Column) -> DataFrame:
     return shares.where((F.col("expires_at") == 0) | (F.col("expires_at") > now))
 
 
+def share_files(shares: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, name, size_bytes): a share's one file, or all files in its folder. An equi-join on the folders that each name lies in."""
+    parts = paths.components("name")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    each = files.where(F.size(parts) > 0).select("name", "size_bytes", F.explode(above).alias("__path"))
+    wanted = shares.select("id", F.array_join(paths.components("path"), "/").alias("__path"))
+    return wanted.join(each, "__path").select("id", "name", "size_bytes")
+
+
+def first_errors(errors: DataFrame) -> DataFrame:
+    """(watch_root, last_error): of each root's open errors (key, message) the one whose key comes first."""
+    return errors.groupBy("watch_root").agg(F.min_by("message", F.struct("key", "message")).alias("last_error"))
+
+
 def share_status(requests: DataFrame, shares: DataFrame, now: Column) -> DataFrame:
     """404 for an unknown share, 410 for an expired one, 302 for a wrong token, else 200."""
     s = shares.select("id", F.col("token").alias("__token"), F.col("expires_at").alias("__at"))

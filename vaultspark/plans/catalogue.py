@@ -34,12 +34,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return relops.list_files(views.names(spark, d), views.files(spark, d)).select("name", "latest_version", "size_bytes", "manifest_id")
 
 
-@query("list_versions", C_SQL + "select object_id, version, size_bytes, manifest_id from c where object_id % 3 = 0")
-def _(spark, d):
-    return views.conversations(spark, d).where("object_id % 3 = 0").select("object_id", "version", "size_bytes", "manifest_id")
-
-
-@query("list_versions_all", C_SQL + "select object_id, version, size_bytes, manifest_id from c")
+@query("list_versions", C_SQL + "select object_id, version, size_bytes, manifest_id from c")
 def _(spark, d):
     return views.conversations(spark, d).select("object_id", "version", "size_bytes", "manifest_id")
 
@@ -175,6 +170,12 @@ def _live(spark, d):
     return o.where("bound"), o.where("label = '1-URGENT' and object_id % 7 = 0")
 
 
+def _few_live(spark, d):
+    """A store of which little is left, the dearest open orders, so that there are chunks without a reference."""
+    o = views.objects(spark, d).where("status = 'P' and price > 400000")
+    return o, o.where("label = '1-URGENT'")
+
+
 _LIVE = ", live as (select manifest_id from objects where bound union select manifest_id from objects where label = '1-URGENT' and object_id % 7 = 0), reach as (select distinct chunk_id from mc where manifest_id in (select manifest_id from live))"
 
 
@@ -184,9 +185,9 @@ def _(spark, d):
     return relops.reachable_chunks(relops.live_manifests(v, s), views.chunk_refs(spark, d))
 
 
-@query("gc_sweep_chunks", M_SQL + _LIVE + " select chunk_id, raw_len from chunks where chunk_id not in (select chunk_id from reach)")
+@query("gc_sweep_chunks", M_SQL + ", reach as (select distinct chunk_id from mc where manifest_id in (select o_orderkey from orders where o_orderstatus = 'P' and o_totalprice > 400000)) select chunk_id, raw_len from chunks where chunk_id not in (select chunk_id from reach)")
 def _(spark, d):
-    v, s = _live(spark, d)
+    v, s = _few_live(spark, d)
     return relops.missing(views.chunks(spark, d), relops.reachable_chunks(relops.live_manifests(v, s), views.chunk_refs(spark, d)), "chunk_id").select("chunk_id", "raw_len")
 
 
@@ -473,12 +474,13 @@ def _(spark, d):
     return relops.reconcile_deletes(views.names(spark, d).select("name"), f.where("doc_id % 40 <> 0 and name like '%/en.txt'").select("name").distinct(), spark.sql("select true as scan_complete"))
 
 
-@query("reconcile_changes", F_SQL + ", c as (select name, arg_max(size_bytes, version) as s, arg_max(manifest_id, version) as m from f where name not like 'src5/%' group by 1), l as (select name, arg_max(size_bytes, version) as s, arg_max(manifest_id, version) as m from f where doc_id % 2 = 0 group by 1) select l.name, case when c.m is null then 'unbound' when l.s <> c.s then 'size' else 'hash' end as why from l left join c using (name) where c.m is null or l.s <> c.s or l.m <> c.m")
+@query("reconcile_changes", F_SQL + ", c as (select name, arg_max(size_bytes, version) as s, arg_max(manifest_id, version) as m from f where name not like 'src5/%' group by 1), l as (select name, arg_min(size_bytes, version) as s, arg_min(manifest_id, version) as m from f group by 1) select l.name, case when c.m is null then 'unbound' when l.s <> c.s then 'size' else 'hash' end as why from l left join c using (name) where c.m is null or l.s <> c.s or l.m <> c.m")
 def _(spark, d):
+    # Stored: the latest versions, without one folder. Found in the folder: the first ones.
     f = views.files(spark, d)
     current = relops.latest(f.where("name not like 'src5/%'"), "name")
-    listing = relops.latest(f.where("doc_id % 2 = 0"), "name").select("name", F.col("size_bytes").alias("size"), F.col("manifest_id").alias("content_hash"))
-    return relops.reconcile_changes(listing, current)
+    oldest = f.groupBy("name").agg(F.min_by("size_bytes", "version").alias("size"), F.min_by("manifest_id", "version").alias("content_hash"))
+    return relops.reconcile_changes(oldest, current)
 
 
 @query("watcher_status_counts", "select event_type, count(*) as scanned, count(*) filter (value > 50) as saved, count(distinct user_id) as paths from events group by 1")

@@ -244,7 +244,7 @@ class Vault:
     # Reading.
 
     def list_files(self) -> DataFrame:
-        return relops.list_files(self.names(), self.versions_table())
+        return relops.list_files(self.names(), self.versions_table(), self.state("objects"))
 
     def _object(self, target: str, pinned: int | None = None) -> str:
         hit = self.names(pinned).where(F.col("name") == target).select("object_id").first()
@@ -300,6 +300,21 @@ class Vault:
             raise Corrupt("a chunk is corrupt")
         return b"".join(bytes(r.part) for r in sorted(parts, key=lambda r: r.ordinal))
 
+    def read_ranges(self, requests: DataFrame) -> DataFrame:
+        """(name, offset, size, bytes) of requests (name, offset, size); only chunks that overlap are decoded, each verified.
+
+        A range beyond the end is cut, one past it empty; names that are not there give no row.
+        """
+        files = relops.list_files(self.names(), self.versions_table(), self.state("objects")).where("manifest_id is not null")
+        req = requests.select("name", F.col("offset").cast("long").alias("offset"), F.col("size").cast("long").alias("size")).distinct().join(files.select("name", "manifest_id"), "name")
+        hit = relops.range_slices(self.events("manifest_chunks"), req).select("name", "offset", "size", "ordinal", "chunk_id", "from_byte", "n_bytes")
+        chunks = self.events("chunks").join(hit.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        got = hit.join(self.decoded(chunks).select("chunk_id", "data", "hash_ok"), "chunk_id", "left")
+        fault = F.raise_error(F.concat(F.lit("chunk is missing or corrupt: "), "chunk_id")).cast("binary")
+        part = F.when(F.col("hash_ok"), F.substr("data", (F.col("from_byte") + 1).cast("int"), F.col("n_bytes").cast("int"))).otherwise(fault)
+        whole = cdc.assemble(got.select("name", "offset", "size", "ordinal", part.alias("data")), ["name", "offset", "size"])
+        return req.drop("manifest_id").join(whole, ["name", "offset", "size"], "left").select("name", "offset", "size", F.coalesce("content", F.lit(b"").cast("binary")).alias("bytes"))
+
     # Names and versions.
 
     def _rows(self, df: DataFrame, lsn: int, alive: bool = True) -> DataFrame:
@@ -357,6 +372,32 @@ class Vault:
         """Drop a name; the object and its history stay, reachable by id."""
         return self._unbind("unbind", F.col("name") == name.strip(), False) > 0
 
+    def delete_object(self, object_id: str) -> bool:
+        """Drop an object and its versions by id; a name that is bound to it dangles and is not listed."""
+
+        def build(pinned, lsn):
+            own = self.state("objects", pinned).where(F.col("object_id") == object_id)
+            if not own.count():
+                return {}, {"n": 0}
+            versions = self.versions_table(pinned).where(F.col("object_id") == object_id)
+            return {"objects": self._rows(own, lsn, False), "versions": self._rows(versions, lsn, False)}, {"n": 1}
+
+        return self._change("delete_object", build)["n"] > 0
+
+    def delete_manifest(self, manifest_id: str) -> bool:
+        """Drop a manifest and its list of chunks by id; refused while a version or a snapshot needs it."""
+        pinned = self.log.last()
+        own = self.state("manifests", pinned)
+        if not own.where(F.col("manifest_id") == manifest_id).count():
+            return False
+        if relops.live_manifests(self.versions_table(pinned), self._entries(pinned)).where(F.col("manifest_id") == manifest_id).count():
+            raise Corrupt(f"manifest {manifest_id} is in use")
+        other, files, actions = F.col("manifest_id") != manifest_id, self.log.files(pinned), []
+        for t, df in (("manifests", own), ("manifest_chunks", self.events("manifest_chunks", pinned))):
+            actions += [{"op": "remove", "table": t, "path": p} for p in files.get(t, [])] + [self._write(t, df.where(other))]
+        self.log.commit(pinned + 1, "delete_manifest", actions, {"manifest": manifest_id})
+        return True
+
     def rename(self, old: str, new: str) -> bool:
         return self.move([(old.strip(), new.strip())], whole=False) > 0
 
@@ -530,8 +571,17 @@ class Vault:
         out["healthy"] = not (c.corrupt or c.missing or c.corrupt_refs or any(dangling.values()))
         return out
 
+    def check_manifests(self) -> DataFrame:
+        """(manifest_id, missing, corrupt): faulty references of each manifest that has some."""
+        state = self.decoded(self.events("chunks")).select("chunk_id", "hash_ok")
+        seen = self.events("manifest_chunks").select("manifest_id", "chunk_id").join(state, "chunk_id", "left")
+        out = seen.groupBy("manifest_id").agg(F.count_if(F.col("hash_ok").isNull()).alias("missing"), F.count_if(~F.col("hash_ok")).alias("corrupt"))
+        return out.where("missing + corrupt > 0")
+
     def stats(self) -> dict:
-        return relops.store_stats(self.names(), self.versions_table(), self.state("manifests"), self.state("snapshots"), self.events("chunks")).first().asDict()
+        """Totals, and the bytes that the chunks' payloads take."""
+        payload = self.events("chunks").agg(F.coalesce(F.sum("payload_len"), F.lit(0)).cast("long")).first()[0]
+        return relops.store_stats(self.names(), self.versions_table(), self.state("manifests"), self.state("snapshots"), self.events("chunks")).first().asDict() | {"payload_bytes": payload}
 
     def vfs(self) -> DataFrame:
         return relops.vfs_files(self.names(), self.versions_table(), self._entries())
@@ -575,6 +625,14 @@ class Vault:
     def track(self, watch_root: str, names: list[str], on: bool = True) -> None:
         self._upsert("tracked_files", [(watch_root, n) for n in names], ["watch_root", "name"], on)
 
+    def track_names(self, watch_root: str, names: DataFrame) -> None:
+        """As :meth:`track`, for a table of names."""
+
+        def build(pinned, lsn):
+            return {"tracked_files": self._rows(names.select(F.lit(watch_root).alias("watch_root"), "name"), lsn)}, {}
+
+        self._change("upsert tracked_files", build)
+
     def tracked(self, watch_root: str) -> DataFrame:
         return self.state("tracked_files").where(F.col("watch_root") == watch_root).select("watch_root", "name")
 

@@ -71,4 +71,4 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as objects; an order's manifest has its key."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object_id"), F.col("o_orderkey").alias("manifest_id"), (F.col("o_orderstatus") != "F").alias("bound"), F.col("o_orderpriority").alias("label"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object_id"), F.col("o_orderkey").alias("manifest_id"), (F.col("o_orderstatus") != "F").alias("bound"), F.col("o_orderpriority").alias("label"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))

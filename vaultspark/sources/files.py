@@ -209,3 +209,21 @@ def write_chunks(parts: DataFrame, root: str) -> DataFrame:
     """Write files below ``root`` from (name, manifest_id, ordinal, hash_ok, data), each by one task in the order of its chunks."""
     slim = parts.select(paths.sanitize("name").alias("name"), "manifest_id", "ordinal", F.coalesce("hash_ok", F.lit(False)).alias("ok"), "data").where("name <> ''")
     return slim.repartition("name").sortWithinPartitions("name", "manifest_id", "ordinal").mapInArrow(_chunk_writer(root), "name string, bytes long")
+
+
+def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names, out = batch.column(0).to_pylist(), []
+        for path in batch.column(1).to_pylist():
+            fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+            whole = hashlib.sha256()
+            with fs.open_input_stream(at, compression=None) as stream:
+                while block := stream.read(BLOCK):
+                    whole.update(block)
+            out.append(whole.hexdigest())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.string())], ["name", "content_hash"])
+
+
+def hash_paths(files: DataFrame) -> DataFrame:
+    """(name, content_hash) of (name, path), read in blocks."""
+    return files.select("name", "path").mapInArrow(_hasher, "name string, content_hash string")

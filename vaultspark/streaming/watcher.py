@@ -44,6 +44,13 @@ class WatchConfig:
         if not (0 <= self.debounce <= 60 and 0 <= self.cooldown <= 3600 and 0 <= self.throttle_ms <= 5000):
             raise ValueError("debounce is up to 60 s, cooldown up to 3600 s, throttle up to 5000 ms")
 
+    @classmethod
+    def asked(cls, debounce: int = 3, cooldown: int = 60, throttle_ms: int = 10) -> WatchConfig:
+        """The settings that a user may ask for: a second at least of debounce and of cooldown."""
+        if not (1 <= debounce <= 60 and 1 <= cooldown <= 3600 and 0 <= throttle_ms <= 5000):
+            raise ValueError("debounce is 1 to 60 s, cooldown 1 to 3600 s, throttle up to 5000 ms")
+        return cls(debounce, cooldown, throttle_ms)
+
 
 @dataclass
 class WatchState:
