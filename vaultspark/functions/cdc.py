@@ -38,20 +38,11 @@ def cut_points(data: bytes, least: int = LEAST, target: int = TARGET, most: int
     n = len(data)
     if n <= least:
         return [n] if n else []
-    bits = max(1, (target - 1).bit_length())
-    h = gear_hash(np.frombuffer(data, dtype=np.uint8)) >> np.uint64(64 - bits - 2)
-    strict = np.flatnonzero(h == 0) + 1
-    loose = np.flatnonzero(h >> np.uint64(3) == 0) + 1
+    strict, loose = _cuts(np.frombuffer(data, dtype=np.uint8), target)
     out, at = [], 0
     while n - at > least:
-        i = np.searchsorted(strict, at + least)
-        if i < len(strict) and strict[i] <= min(at + target, n):
-            end = int(strict[i])
-        else:
-            j = np.searchsorted(loose, max(at + target, at + least))
-            end = min(int(loose[j]) if j < len(loose) else n, at + most, n)
-        out.append(end)
-        at = end
+        at = _next_cut(strict, loose, at, n, least, target, most)
+        out.append(at)
     if at < n:
         out.append(n)
     return out
@@ -65,35 +56,41 @@ class StreamChunker:
 
     def feed(self, block: bytes) -> Iterator[bytes]:
         self.held += block
-        while len(self.held) > 2 * self.sizes[2]:
-            yield self._take()
-
-    def _take(self) -> bytes:
-        # A window of 64 bytes before the chunk belongs to the hash, as the hash is not reset at cuts.
-        seen = self.tail + self.held
-        end = _first_cut(seen, len(self.tail), *self.sizes)
-        chunk, self.held = self.held[:end], self.held[end:]
-        self.tail = (self.tail + chunk)[-64:]
-        return chunk
+        if len(self.held) > 4 * self.sizes[2]:
+            yield from self._take(False)
 
     def finish(self) -> Iterator[bytes]:
-        while self.held:
-            yield self._take()
-
+        yield from self._take(True)
 
-def _first_cut(seen: bytes, skip: int, least: int, target: int, most: int) -> int:
-    n = len(seen) - skip
-    if n <= least:
-        return n
+    def _take(self, end: bool) -> Iterator[bytes]:
+        """Chunks whose cuts do not depend on what is to come; at the end all. What is held is hashed once."""
+        least, target, most = self.sizes
+        held, n, at = self.held, len(self.held), 0
+        # A window of 64 bytes before the chunk belongs to the hash, as the hash is not reset at cuts.
+        strict, loose = _cuts(np.frombuffer(self.tail + held, dtype=np.uint8), target)
+        strict, loose = strict - len(self.tail), loose - len(self.tail)
+        while n - at > (0 if end else 2 * most):
+            cut = n
+            if n - at > least:
+                cut = _next_cut(strict, loose, at, n, least, target, most)
+            yield held[at:cut]
+            at = cut
+        self.tail, self.held = (self.tail + held[:at])[-64:], held[at:]
+
+
+def _cuts(data: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of chunks by the strict and by the loose mask."""
     bits = max(1, (target - 1).bit_length())
-    h = gear_hash(np.frombuffer(seen, dtype=np.uint8))[skip:] >> np.uint64(64 - bits - 2)
-    strict = np.flatnonzero(h == 0) + 1
-    i = np.searchsorted(strict, least)
-    if i < len(strict) and strict[i] <= min(target, n):
+    h = gear_hash(data) >> np.uint64(64 - bits - 2)
+    return np.flatnonzero(h == 0) + 1, np.flatnonzero(h >> np.uint64(3) == 0) + 1
+
+
+def _next_cut(strict: np.ndarray, loose: np.ndarray, at: int, n: int, least: int, target: int, most: int) -> int:
+    i = np.searchsorted(strict, at + least)
+    if i < len(strict) and strict[i] <= min(at + target, n):
         return int(strict[i])
-    loose = np.flatnonzero(h >> np.uint64(3) == 0) + 1
-    j = np.searchsorted(loose, target)
-    return min(int(loose[j]) if j < len(loose) else n, most, n)
+    j = np.searchsorted(loose, max(at + target, at + least))
+    return min(int(loose[j]) if j < len(loose) else n, at + most, n)
 
 
 def _chunk_batches(least: int, target: int, most: int, keys: int):
