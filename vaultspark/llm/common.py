@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import threading
 import uuid
@@ -93,6 +94,12 @@ def checkpointed(df: DataFrame, share: int = 8) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are done: it does so when the driver's garbage goes, which may be late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession, tag: str = "llm") -> None:
     """Delete the tables staged under ``tag``; their readers must be done."""
     jvm = spark.sparkContext._jvm

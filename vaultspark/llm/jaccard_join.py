@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stage, table, trim
+from .common import checkpointed, stage, sweep, table, trim
 from .components import Forest, components, stars
 from .shingles import chunks, mix, shingle_sets, text_bytes
 
@@ -408,6 +408,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     dealt = own.mapInArrow(_deal(buckets), _PACKED).repartition("bucket").sortWithinPartitions("bucket", "batch", "kind")
     partial = dealt.mapInArrow(_shared, _PACKED).repartition("batch").select("batch", "bucket", "kind", "a", "b").sortWithinPartitions("batch", "kind")
     told = checkpointed(partial.mapInArrow(_judge, _TOLD), share=4)
+    sweep(spark)
 
     # Classes are told apart by both hashes; their numbers, which the steps below use, cannot meet.
     keys = ["node", "check", "n"]
@@ -418,6 +419,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     packed = chosen.mapInArrow(_deal_sets(buckets), _PACKED).repartition("bucket").sortWithinPartitions("bucket", "batch", "kind")
     counted = packed.mapInArrow(_frequency, _PACKED).repartition("batch").select("batch", "bucket", "kind", "a", "b").sortWithinPartitions("batch", "bucket")
     sets = stage(counted.mapInArrow(_prefixes(buckets), _SETS), "shingle-sets")
+    sweep(spark)
 
     near = components(candidate_links(sets))
     near = sets.select("node", "n", "shingles").join(near, "node")
