@@ -212,7 +212,7 @@ def test_decontamination_recall_of_edited_items():
     assert len(near & set(index.search(h, n))) >= 0.95 * len(near)
 
 
-@pytest.mark.parametrize("size", [15, 16, 20, 45, 59, 60, 250])
+@pytest.mark.parametrize("size", [15, 16, 20, 45, 59, 60, 150, 250, 400])
 @pytest.mark.parametrize("how", ["head replaced", "head dropped", "tail replaced", "tail dropped", "inserted", "spread"])
 def test_decontamination_finds_every_window_at_the_limit(size, how):
     rng = random.Random(size)
@@ -527,3 +527,29 @@ def test_toxicity_scores_by_a_plain_version(spark):
         x += [math.log1p(v) for v in (*(sum(g >= k for g in gains) for k in (1, 2, 3, 5)), sum(g for g in gains if g >= 4), len(gains))]
         z = sum((v - a) / s * w for v, a, s, w in zip(x, m.mean, m.scale, m.weight, strict=True))
         assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_cgk_walks_stay_together_where_words_agree():
+    """The walk against a plain one, word by word; and the share of steps in which a window at the limit agrees."""
+    rng = random.Random(3)
+    h = np.array([rng.randrange(1, 2**63) for _ in range(120)], dtype=np.uint64)
+    begin, size, step = np.array([-4, 0, 30, 100]), np.array([20, 60, 60, 60]), np.array([11, 70, 119, 50])
+    low, high = np.array([0, 0, 30, 40]), np.array([120, 50, 120, 120])
+    for r in (0, 7):
+        got = decontamination.walk(h, low, high, begin, size, step, r).tolist()
+        for w in range(4):
+            at, word = int(begin[w]), 0
+            for j in range(int(step[w]) + 1):
+                word = int(h[at]) if low[w] <= at < high[w] and at < begin[w] + size[w] else 0
+                key = int(shingles.mix(np.array([(r << 32) | (j + 1)], dtype=np.uint64))[0])
+                at += int(shingles.mix(np.array([(word + key) % 2**64], dtype=np.uint64))[0]) & 1
+            assert got[w] == word
+    words = [f"w{rng.randrange(500)}" for _ in range(100)]
+    index = decontamination.Index([(1, " ".join(words))])
+    edited = index.words[0].copy()
+    edited[2::5] = np.arange(1, 21, dtype=np.uint64)
+    same = 0
+    for r in range(200):
+        ends = [decontamination.walk(x, np.zeros(200, dtype=int), np.full(200, 100), np.zeros(200, dtype=int), np.full(200, 100), np.arange(200), r) for x in (index.words[0], edited)]
+        same += ((ends[0] == ends[1]) & (ends[0] != 0)).mean()
+    assert same / 200 > decontamination.AGREE

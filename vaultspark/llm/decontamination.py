@@ -3,14 +3,19 @@
 A text is a sequence of words (runs of letters, digits and non-ASCII characters, A-Z as a-z). A document
 is contaminated by an item of L words if some window of it is within ``floor(MAX_EDITS * L)`` word edits.
 
-1. An edit breaks at most two of an item's word pairs, so of any ``2k + 1`` of them one stands in every window within
-   ``k`` edits. The item's rarest pairs are its anchors; what holds no anchor is left after one look into a table.
-   All word hashes of a batch of documents go through it as arrays.
-2. By the q-gram lemma such a window, of at most ``L + k`` words, holds at least ``L - 1 - 2k`` places whose pair is one of the
-   item's. Each item's places in each document are counted by this rule, which loses no window.
-3. Every stretch found is verified: the exact edit distance of the item to the best window in it.
-
-No step samples: every window within the limit is found, wherever its edits lie.
+1. Where a window may be. An edit breaks at most two of an item's word pairs, so of any ``2k + 1`` of them one stands in every
+   window within ``k`` edits, and by the q-gram lemma such a window, of at most ``L + k`` words, holds at least ``L - 1 - 2k`` places whose
+   pair is one of the item's. The item's rarest pairs are its anchors; what holds no anchor is left after one look into a
+   table. This leaves stretches of text and loses no window.
+2. CGK embedding and bit sampling. In each of ``ROUNDS`` rounds a random walk reads the item and every item-sized window of a stretch:
+   step j writes the word under the pointer, which moves on if a random bit of (round, j, word) says so. Words in which two sequences
+   agree keep their walks together, so edit distance becomes Hamming distance. A round samples one of the first ``2 L`` steps, over the
+   whole item; a stretch is a candidate when a window and the item have the same word there. Windows that begin before the stretch or
+   end after it are filled with blanks, which agree with nothing.
+3. Each candidate is verified: the exact edit distance of the item to the best window in the stretch.
+
+Step 2 is the one that samples. At 20 percent edits a window agrees with its item in a share of more than ``AGREE`` of the steps, so that
+``ROUNDS`` rounds miss it with odds of less than ``1 - RECALL``; neighbouring windows add to that.
 
 Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, each of which is one more pass. Short items
 follow the same rule: up to 4 words allow no edit, 5 to 9 one. An item of one word has no pair and is looked up as a word. In a script without blanks
@@ -30,11 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .shingles import PUNCTUATION, chunks, text_bytes, word_hashes
+from .common import table, trim
+from .shingles import PUNCTUATION, chunks, mix, text_bytes, word_hashes
 
 MAX_EDITS = 0.2
 BLOCK_BYTES = 8 << 20
+#: Recall aimed at, the share of steps in which a window at the limit agrees with its item, and the rounds that follow from them.
+RECALL, AGREE = 0.999, 0.2
+ROUNDS = int(np.ceil(np.log(1 - RECALL) / np.log(1 - AGREE)))
+#: Words of a window and of an item that are under no pointer: they agree with nothing.
+_OUT = np.uint64(0)
 #: Places and items looked at together.
 _AT_ONCE = 1 << 20
 _SLOTS = 1 << 22
@@ -71,6 +81,7 @@ class Index:
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
         self.edits = np.array([allowed(n) for n in self.size.tolist()], dtype=np.int64)
         self.need = self.size - 1 - 2 * self.edits
+        self._samples: dict[int, dict[int, int]] = {}
         self.single = Postings([w if len(w) == 1 else w[:0] for w in self.words])
         pairs = [pair_keys(w) for w in self.words]
         self.pairs = Postings([np.unique(p) for p in pairs])
@@ -134,7 +145,9 @@ class Index:
         new[1:] = (case[i][1:] != case[i][:-1]) | (a[1:] > b[:-1])
         starts = np.flatnonzero(new)
         stops = np.append(starts[1:], len(i)) - 1
-        for c, s, e in zip(case[i][starts].tolist(), a[starts].tolist(), b[stops].tolist(), strict=True):
+        found, low, high = case[i][starts], a[starts], b[stops]
+        meets = self.meets(h, found % n, low, high)
+        for c, s, e in zip(found[meets].tolist(), low[meets].tolist(), high[meets].tolist(), strict=True):
             d, y = divmod(c, n)
             edits, end = window_distance(self.words[y], h[s:e])
             if edits <= self.edits[y] and edits < best.get((d, y), (edits + 1, 0))[0]:
@@ -142,6 +155,75 @@ class Index:
         return best
 
 
+    def meets(self, h: np.ndarray, items: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which stretches [low, high) of ``h`` have a window that agrees with the item in a sampled step of some round."""
+        out = np.zeros(len(items), dtype=bool)
+        size, edits = self.size[items], self.edits[items]
+        starts = high - low + edits  # windows begin up to k words before the stretch
+        for first in _pieces(starts):
+            todo = np.arange(first.start, first.stop)
+            for r in range(ROUNDS):
+                if not len(todo):
+                    break
+                count = starts[todo]
+                which = np.repeat(todo, count)
+                offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) - edits[which]
+                mine = self._sampled(r, items[todo])
+                seen = walk(h, low[which], high[which], low[which] + offset, size[which], self.steps(r)[items[which]], r)
+                hit = (seen == np.repeat(mine, count)) & (seen != _OUT)
+                agreed = np.unique(which[hit])
+                out[agreed] = True
+                todo = todo[~out[todo]]
+        return out
+
+    def steps(self, r: int) -> np.ndarray:
+        """The step that round ``r`` samples of each item."""
+        return (mix(np.arange(len(self.size), dtype=np.uint64) * np.uint64(ROUNDS) + np.uint64(r + 1)) % np.maximum(2 * self.size, 1).astype(np.uint64)).astype(np.int64)
+
+    def _sampled(self, r: int, items: np.ndarray) -> np.ndarray:
+        """Round ``r``'s word of each item, computed once."""
+        own = self._samples.setdefault(r, {})
+        new = [y for y in np.unique(items).tolist() if y not in own]
+        if new:
+            flat = np.concatenate([self.words[y] for y in new])
+            size = self.size[new]
+            end = np.cumsum(size)
+            got = walk(flat, end - size, end, end - size, size, self.steps(r)[new], r)
+            own.update(zip(new, got.tolist(), strict=True))
+        return np.array([own[y] for y in items.tolist()], dtype=np.uint64)
+
+
+def _pieces(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of stretches with about ``_AT_ONCE`` windows."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _AT_ONCE, side="right")))
+        yield slice(at, end)
+        at = end
+
+
+def walk(h: np.ndarray, low: np.ndarray, high: np.ndarray, begin: np.ndarray, size: np.ndarray, step: np.ndarray, r: int) -> np.ndarray:
+    """The word that a CGK walk of round ``r`` writes at ``step``, for windows of ``size`` words that begin at ``begin`` in ``h``.
+
+    Outside [low, high) and past the window's end there is ``_OUT``.
+    """
+    out = np.zeros(len(begin), dtype=np.uint64)
+    order = np.argsort(step, kind="stable")
+    at, stop = begin[order].copy(), (begin + size)[order]
+    low, high, step = low[order], high[order], step[order]
+    done = j = 0
+    while done < len(order):
+        inside = (at[done:] >= low[done:]) & (at[done:] < high[done:]) & (at[done:] < stop[done:])
+        word = np.where(inside, h[np.clip(at[done:], 0, len(h) - 1)], _OUT)
+        last = int(np.searchsorted(step[done:], j, side="right"))
+        out[order[done : done + last]] = word[:last]
+        key = mix(np.array([(r << 32) | (j + 1)], dtype=np.uint64))
+        at[done:] += (mix(word + key) & np.uint64(1)).astype(np.int64)
+        done += last
+        j += 1
+    return out
+
+
 class Postings:
     """The items that have each pair, or each word."""
 
@@ -202,6 +284,7 @@ def _finder(items: list[tuple[int | None, str]]):
                     rows = [(ids[d], index.ids[x], e, len(index.words[x]), end) for (d, x), (e, end) in found]
                     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "item_id", "edits", "item_words", "end_word"])
+        trim()
 
     return find
 
@@ -224,6 +307,7 @@ def _keeper(items: list[tuple[int | None, str]], column: int):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 clean[[d for d, _ in index.search(h, count)]] = False
                 yield batch.filter(pa.array(clean))
+        trim()
 
     return keep
 
