@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import threading
 import uuid
@@ -12,6 +11,8 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes the shuffle files of a query when it ends, and not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Staged tables of this driver process, by tag.
 _staged: dict[str, list[str]] = {}
 _lock = threading.Lock()
@@ -76,7 +77,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _without_leftovers(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,17 +89,26 @@ def checkpointed(df: DataFrame, share: int = 8) -> DataFrame:
     """
     spark = df.sparkSession
     shared_root(spark)
-    out = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)).checkpoint(eager=True)
+    with _without_leftovers(spark):
+        out = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)).checkpoint(eager=True)
     at = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
     if at.isDefined():
         _remember(at.get())
     return out
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are done: it does so when the driver's garbage goes, which may be late."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def _without_leftovers(spark: SparkSession):
+    """Queries that are made and run inside delete their shuffle files when they end: what they give is in the shared folder."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def release(spark: SparkSession, tag: str = "llm") -> None:
