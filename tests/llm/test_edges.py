@@ -553,3 +553,10 @@ def test_cgk_walks_stay_together_where_words_agree():
         ends = [decontamination.walk(x, np.zeros(200, dtype=int), np.full(200, 100), np.zeros(200, dtype=int), np.full(200, 100), np.arange(200), r) for x in (index.words[0], edited)]
         same += ((ends[0] == ends[1]) & (ends[0] != 0)).mean()
     assert same / 200 > decontamination.AGREE
+
+
+def test_sharding_with_a_matrix_too_large_to_broadcast(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").alias("doc_id")).repartition(7)
+    monkeypatch.setattr(sharding, "PLAN_BYTES", 0)
+    got = sharding.shuffle_into_shards(df, 3).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(3) for i in range(334 if s == 0 else 333)] and {r.doc_id for r in got} == set(range(1000))

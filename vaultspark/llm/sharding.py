@@ -12,9 +12,8 @@ permutation of each shard's places gives the slots. Both permutations are
 Feistel networks with cycle walking: a function of the number alone, so no
 partition or shard is ever held, and a lost executor repeats the same rows.
 
-The matrix has one row of 2 x shards numbers for each source partition. It is
-joined, without a hint, as a table: Spark broadcasts it only below
-``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
+The matrix has one row of 2 x shards numbers for each source partition. Up to ``PLAN_BYTES`` it is
+broadcast, so that the rows move once; beyond that it is joined as a table by source partition.
 
 Defined cases: equal or repeated rows, null keys, null and very long texts are rows like any
 others, each with a slot of its own; an empty table gives no rows; more shards
@@ -31,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import stage, table, unused
 
 SEED = 20_240_501
+#: Bytes of the matrix up to which it is broadcast.
+PLAN_BYTES = 32 << 20
 #: Rows of one slot block; a block stays together in the exchange.
 BLOCK = 4096
 _PART_BITS = 33  # monotonically_increasing_id: partition number above, row number below
@@ -127,7 +128,8 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = SEED) -> DataFra
     def place(at: pd.Series, size: pd.Series, stream: pd.Series) -> pd.Series:
         return pd.Series(permute(at.to_numpy(), size.to_numpy(), stream.to_numpy(), seed))
 
-    dealt = rows.withColumn(p_, part).join(plan, p_)
+    small = len(parts) * (2 * shards + 3) * 8 <= PLAN_BYTES
+    dealt = rows.withColumn(p_, part).join(F.broadcast(plan) if small else plan, p_)
     at = F.col(row_id).bitwiseAND(F.lit((1 << _PART_BITS) - 1))
     dealt = dealt.withColumn(rank_, place(at, F.col(n_), F.col(p_).cast("long")))
     dealt = dealt.withColumn("shard", F.size(F.filter(ends_, lambda e: e <= F.col(rank_))))
