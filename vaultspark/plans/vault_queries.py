@@ -280,7 +280,7 @@ def _(spark, d):
 _U = "with u as (select page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) as p from pages) "
 
 
-@query("root_overlap", _U + "select page_id, page_id % 3 <> 2 or p = '' as overlaps from u")
+@query("root_overlap", _U + "select page_id, page_id % 3 <> 2 or p = '' or ends_with(p, '/') as overlaps from u")
 def _(spark, d):
     t = views.table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1).alias("p"))
     k, p = F.col("page_id") % 3, F.concat(F.lit("/w/"), "p")
